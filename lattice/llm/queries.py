@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattice.llm import idfiles, packing
+from lattice.llm import decontam, idfiles, licenses, packing
 from lattice.llm.tokens import Vocabulary
 
 
@@ -32,6 +33,15 @@ def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_digest(idfiles.write_ids(_read(spark, sf_dir, "documents"), word_vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_id_files)}
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_spans"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_token_id_files, op7_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
