@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import decontam, idfiles, licenses, ngramjoin, packing, quality, toxicity, urls
+from lattice.llm import decontam, idfiles, licenses, ngramjoin, packing, quality, toxicity, urls, vectors
 from lattice.llm.tokens import Vocabulary
 
 
@@ -43,6 +43,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.classes(_read(spark, sf_dir, "documents"))
 
@@ -60,6 +64,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_token_id_files, op4_toxicity, op6_ngram_jaccard_join, op7_decontamination, op9_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_token_id_files, op4_toxicity, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_decontamination, op9_url_filter, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": urls.oracle_sql()}
