@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import decontam, idfiles, licenses, ngramjoin, packing, quality, toxicity, urls, vectors
+from lattice.llm import decontam, idfiles, licenses, ngramjoin, packing, pii, quality, toxicity, urls, vectors
 from lattice.llm.tokens import Vocabulary
 
 
@@ -55,6 +55,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+PII_KEY = b"fixture key; give your own"
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replaced(docs, PII_KEY).withColumnRenamed("_entities", "n_entities")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"))
 
@@ -64,6 +72,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_token_id_files, op4_toxicity, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_decontamination, op9_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_token_id_files, op4_toxicity, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_decontamination, op8_pii_surrogates, op9_url_filter, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": urls.oracle_sql()}
