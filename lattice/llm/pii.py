@@ -44,7 +44,7 @@ PATTERNS = (
     ("ip", re.compile(r"(?<![\w.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\w]|\.\d)")),
     ("ssn", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])")),
     ("card", re.compile(r"(?<![\w.+-])(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?![\w-])")),
-    ("phone", re.compile(r"(?<![\d+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")),
+    ("phone", re.compile(r"(?<![\d+])(\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")),
     ("name", re.compile(rf"\b(?i:({'|'.join(_TITLES)}))\b\.?[ \u00a0]+({_NAME})(?:[ \u00a0]+({_NAME}))?")),
 )
 #: Quick tests: a text without these cannot hold the entity.
@@ -63,18 +63,20 @@ class Mention:
 
 
 def mentions(text: str) -> list[Mention]:
-    """All mentions, in order, none overlapping; where patterns overlap the first in PATTERNS wins."""
+    """All mentions, in order, none overlapping; what an earlier pattern of PATTERNS took is closed to later ones."""
     found: list[Mention] = []
-    taken: list[tuple[int, int]] = []
     digits = bool(_DIGIT.search(text))
     for kind, pattern in PATTERNS:
         if kind not in ("email", "name", "secret") and not digits or (hint := _HINTS.get(kind)) and hint not in text:
             continue
-        for m in pattern.finditer(text):
-            own = _parts(kind, m)
-            if own and not any(a < own[-1].stop and own[0].start < b for a, b in taken):
-                found += own
-                taken.append((own[0].start, own[-1].stop))
+        own = [x for m in pattern.finditer(text) for x in _parts(kind, m)]
+        if own:
+            found += own
+            pieces, last = [], 0
+            for x in own:
+                pieces += [text[last : x.start], "\0" * (x.stop - x.start)]
+                last = x.stop
+            text = "".join([*pieces, text[last:]])
     return sorted(found, key=lambda x: x.start)
 
 
