@@ -82,7 +82,7 @@ def conv_tiles(tiles: DataFrame, meta: ArrayMeta, taps: list[float], halo: str =
         return tiles.select("ti", "tj", "data").mapInArrow(run, schema)
 
     def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each tile, itself and the parts of it that each neighbour needs: (ti, tj, di, dj, data)."""
+        """For each tile, itself and the parts of it that each neighbour needs: (ti, tj, di, dj, rows, data)."""
         for batch in batches:
             rows: list[tuple] = []
             for ti, tj, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -92,24 +92,22 @@ def conv_tiles(tiles: DataFrame, meta: ArrayMeta, taps: list[float], halo: str =
                         to = (ti + di, tj + dj)
                         if 0 <= to[0] < meta.tiles[0] and 0 <= to[1] < meta.tiles[1]:
                             part = x[{-1: slice(0, radius), 0: slice(None), 1: slice(-radius, None)}[di], {-1: slice(0, radius), 0: slice(None), 1: slice(-radius, None)}[dj]]
-                            rows.append((*to, -di, -dj, part.ravel()))
-            cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.float64()))], names=["ti", "tj", "di", "dj", "data"])
+                            rows.append((*to, -di, -dj, part.shape[0], part.ravel()))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.float64()))], names=["ti", "tj", "di", "dj", "rows", "data"])
 
     def gather(group: pa.Table) -> pa.Table:
         ti, tj = group["ti"][0].as_py(), group["tj"][0].as_py()
         h, w = shape(ti, tj)
         padded = np.zeros((h + 2 * radius, w + 2 * radius))
-        for di, dj, data in zip(group["di"].to_pylist(), group["dj"].to_pylist(), group["data"], strict=True):
-            flat = data.values.to_numpy()
-            rows = {-1: radius, 0: h, 1: radius}[di] if di < 1 else min(radius, max(0, len(flat) // (w if dj == 0 else radius)))
-            part = flat.reshape(-1, w) if dj == 0 else flat.reshape(h if di == 0 else rows, -1)
+        for di, dj, rows, data in zip(group["di"].to_pylist(), group["dj"].to_pylist(), group["rows"].to_pylist(), group["data"], strict=True):
+            part = data.values.to_numpy().reshape(rows, -1)
             top = {-1: radius - part.shape[0], 0: radius, 1: radius + h}[di]
             left = {-1: radius - part.shape[1], 0: radius, 1: radius + w}[dj]
             padded[top : top + part.shape[0], left : left + part.shape[1]] = part
         return pa.table({"ti": [ti], "tj": [tj], "data": pa.array([filtered(padded).ravel()], pa.list_(pa.float64()))})
 
-    sent = tiles.select("ti", "tj", "data").mapInArrow(strips, "ti long, tj long, di long, dj long, data array<double>")
+    sent = tiles.select("ti", "tj", "data").mapInArrow(strips, "ti long, tj long, di long, dj long, rows long, data array<double>")
     return sent.groupBy("ti", "tj").applyInArrow(gather, schema)
 
 

@@ -61,7 +61,7 @@ _RANK = f"""+own AS MATERIALIZED (SELECT src, dst FROM edges WHERE src <> dst AN
     r1 AS MATERIALIZED (SELECT d.v, d.n, 0.15e0 + 0.85e0 * coalesce(s, 0e0) AS r FROM deg d LEFT JOIN (SELECT dst, sum(g) AS s FROM own JOIN g0 ON v = src GROUP BY 1) ON dst = d.v),
     r2 AS MATERIALIZED (SELECT d.v, d.n, 0.15e0 + 0.85e0 * coalesce(s, 0e0) AS r FROM deg d LEFT JOIN (SELECT dst, sum(r / greatest(n, 1)) AS s FROM own JOIN r1 ON v = src GROUP BY 1) ON dst = d.v),
     r3 AS MATERIALIZED (SELECT d.v, d.n, 0.15e0 + 0.85e0 * coalesce(s, 0e0) AS r FROM deg d LEFT JOIN (SELECT dst, sum(r / greatest(n, 1)) AS s FROM own JOIN r2 ON v = src GROUP BY 1) ON dst = d.v)
-    SELECT v, round(r, 6) + 0e0 AS rank FROM r3"""
+    SELECT v, round(r, 10) + 0e0 AS rank FROM r3"""
 
 _MATRIX = "+m AS (SELECT app, avg(seconds) FILTER (config = 'baseline') AS baseline, avg(seconds) FILTER (config = 'software') AS software, avg(seconds) FILTER (config = 'hardware') AS hardware FROM runs GROUP BY 1)"
 _SPEED = _MATRIX + ", s AS (SELECT app, 'baseline' AS config, baseline / baseline AS speedup FROM m UNION ALL SELECT app, 'software', baseline / software FROM m UNION ALL SELECT app, 'hardware', baseline / hardware FROM m)"

@@ -161,7 +161,7 @@ def out_degree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(fx.edges(spark, d), fx.VERTICES).select("v", rounded(F.col("rank"), 6).alias("rank"))
+    return graph.pagerank(fx.edges(spark, d), fx.VERTICES).select("v", rounded(F.col("rank"), 10).alias("rank"))
 
 
 def graph_csr(spark: SparkSession, d: str) -> DataFrame:
