@@ -9,13 +9,16 @@ A document is its set of 64-bit shingle hashes; equal sets are one node. Steps:
 2. Two sets that are similar enough share a shingle among the first ``n - ceil(t n) + 1`` of each in any
    common order. Each set files itself under those; the order puts shingles that many sets hold last,
    so what many documents quote files few of them. Lists of one set go.
-3. In each list and band of sizes the members are compared with one of them; signatures first, then
+3. Each set is compared with the members that stand first in most of its lists; signatures first, then
    exactly. Copies and near copies, whose lists are long, come together here without all their pairs.
-4. Lists that still join different classes are compared in tiles of bounded size by signatures, pairs of
-   one class left out, and what passes is intersected exactly.
-
-Classes are found by distributed stars. Every pair that is similar enough is either compared or already
-in one class, so the classes are those of all links.
+4. Lists that still join different classes are compared in tiles of bounded size by signatures. Of each
+   set and each larger class that signatures do not keep apart, the likeliest pair is intersected.
+5. What is still apart goes against the whole class, in tiles of its members: wide signatures, then exact
+   intersections up to the first link.
+
+Classes are found by distributed stars. Of every two sets that are similar enough, one is compared with
+the other or with all of the other's class unless both are in one class already, so the classes are those
+of all links; and no step returns more than a row for each set and class that it may join.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ PERCENT = 80
 HOT_LOCAL, HOT_GLOBAL = 8, 64  # counts in a task, and over all tasks, from which a shingle's order counts as frequent
 HOT_ROWS = 1 << 20  # frequent shingles that the order knows; more only makes lists longer
 CHUNK = 1 << 23  # shingles that a task holds for counting
+FIRST = 3  # members that a set is compared with before there are classes
+MEMBERS = 1024  # members of a class in one tile against other sets
 TILE = 4096  # members of a list compared in one tile where it has more than two tiles' worth
 BROADCAST_ROWS = 2_000_000  # rows of five numbers that may be broadcast
 
@@ -107,23 +112,20 @@ class Signatures:
             self.row[rows] = np.arange(len(rows))
             self.by[w] = data[offsets[rows][:, None] + np.arange(w)].view(U64)
 
-    def may_link(self, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-        """Whether the bound leaves the pair similar enough."""
-        ok = np.zeros(len(i), bool)
+    def most_shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlaps of the pairs."""
+        out = np.zeros(len(i), np.int64)
         wide = np.where(self.size[i] >= self.size[j], i, j)
         slim = np.where(self.size[i] >= self.size[j], j, i)
-        for a, b in {*zip(self.size[wide].tolist(), self.size[slim].tolist(), strict=True)} if len(i) < 1000 else {(a, b) for a in self.by for b in self.by if a >= b}:
+        for a, b in {(a, b) for a in self.by for b in self.by if a >= b}:
             at = np.flatnonzero((self.size[wide] == a) & (self.size[slim] == b))
             for k in range(0, len(at), 50_000):
                 p = at[k : k + 50_000]
                 x, y = self.by[a][self.row[wide[p]]], self.by[b][self.row[slim[p]]]
                 while x.shape[1] > y.shape[1]:
                     x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                both = self.n[wide[p]] + self.n[slim[p]]
-                most = (both - apart) // 2
-                ok[p] = 100 * most >= percent * (both - most)
-        return ok
+                out[p] = (self.n[wide[p]] + self.n[slim[p]] - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2
+        return out
 
 
 def _measure(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -189,11 +191,12 @@ def _bound(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             n = np.concatenate((batch.column(2).to_numpy(), batch.column(3).to_numpy()))
             found = Signatures(pa.concat_arrays([batch.column(4), batch.column(5)]), n)
             i = np.arange(batch.num_rows)
-            yield batch.select([0, 1]).filter(pa.array(found.may_link(i, i + batch.num_rows, percent)))
+            bound = found.most_shared(i, i + batch.num_rows)
+            yield batch.select([0, 1]).filter(pa.array(100 * bound >= percent * (n[: len(i)] + n[len(i) :] - bound)))
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, p, q, n, set_id, component, bits) sorted by the first four: pairs of a tile that may be links between classes."""
+    """Rows (key, p, q, n, set_id, component, size, bits) sorted by the first four: for each set and class not smaller than its own that a tile may link, the likeliest partner (f, k, other, share)."""
     tail: pa.Table | None = None
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -201,7 +204,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         group = np.stack([t[c].to_numpy() for c in ("key", "p", "q")])
         end = np.append(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1, t.num_rows)
         stop = np.repeat(end, np.diff(np.concatenate(([0], end))))
-        n, ids, comp = (t[c].to_numpy() for c in ("n", "set_id", "component"))
+        n, ids, comp, size = (t[c].to_numpy() for c in ("n", "set_id", "component", "size"))
         bits = t["bits"].chunk(0)
         found = Signatures(bits, n)
         count = stop - np.arange(t.num_rows) - 1
@@ -213,10 +216,18 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             b = np.arange(len(a)) + np.repeat(np.arange(i, j) + 1 - (np.cumsum(count[i:j]) - count[i:j]), count[i:j])
             live = (comp[a] != comp[b]) & (100 * n[a] >= percent * n[b])
             a, b = a[live], b[live]
-            ok = found.may_link(a, b, percent)
-            a, b = ids[a[ok]], ids[b[ok]]
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            bound = found.most_shared(a, b)
+            ok = 100 * bound >= percent * (n[a] + n[b] - bound)
+            a, b, bound = a[ok], b[ok], bound[ok]
+            smaller = (size[a] < size[b]) | ((size[a] == size[b]) & (comp[a] > comp[b]))
+            one, other = np.where(smaller, a, b), np.where(smaller, b, a)
+            share = bound / (n[a] + n[b] - bound)
+            order = np.lexsort((ids[other], -share, comp[other], ids[one]))
+            one, other, share = one[order], other[order], share[order]
+            best = np.ones(len(one), bool)
+            best[1:] = (ids[one][1:] != ids[one][:-1]) | (comp[other][1:] != comp[other][:-1])
+            one, other, share = one[best], other[best], share[best]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[one]), pa.array(comp[other]), pa.array(ids[other]), pa.array(share)], names=["f", "k", "other", "share"])
             i = j
 
     for batch in batches:
@@ -253,6 +264,62 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+class Members:
+    """Sets of a tile of one class, with signatures wide enough that few bounds are far from the overlap."""
+
+    def __init__(self, percent: int):
+        self.percent, self.sets, self.ids, self.bits = percent, [], [], None
+
+    def add(self, s: np.ndarray, x: int) -> None:
+        self.sets.append(s)
+        self.ids.append(x)
+
+    def _parity(self, s: np.ndarray) -> np.ndarray:
+        bits = np.bincount((s & U64(self.width - 1)).astype(np.int64), minlength=self.width) & 1
+        return np.packbits(bits.astype(np.uint8), bitorder="little").view(U64)
+
+    def linked(self, s: np.ndarray) -> int | None:
+        """Some member that s links with."""
+        if self.bits is None:
+            self.n = np.array([len(x) for x in self.sets])
+            self.width = min(1 << 17, max(64, 1 << (16 * int(self.n.max()) - 1).bit_length()))
+            self.bits = np.stack([self._parity(x) for x in self.sets])
+        both = self.n + len(s)
+        fits = np.flatnonzero(100 * np.minimum(self.n, len(s)) >= self.percent * np.maximum(self.n, len(s)))
+        own = self._parity(s)
+        bound = np.zeros(len(self.n), np.int64)
+        for k in range(0, len(fits), 64):
+            p = fits[k : k + 64]
+            bound[p] = (both[p] - np.bitwise_count(self.bits[p] ^ own).sum(1, dtype=np.int64)) // 2
+        likely = fits[100 * bound[fits] >= self.percent * (both[fits] - bound[fits])]
+        for m in likely[np.argsort(-bound[likely] / both[likely], kind="stable")].tolist():
+            t = self.sets[m]
+            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+            if similar(int((t[at] == s).sum()), len(s), len(t), self.percent):
+                return self.ids[m]
+        return None
+
+
+def _against(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (class, tile, role, set_id, text) sorted so that a tile's members (role 0) come before the sets to compare: links (a, b)."""
+    now, members = None, Members(percent)
+    for batch in batches:
+        names, tiles, roles, ids = (batch.column(k).to_pylist() for k in range(4))
+        a, b = [], []
+        for i, j, buf, offsets in blocks(batch):
+            for k, s in enumerate(shingle_sets(*words(buf, offsets, GRAPH), width), i):
+                if set_id(s) != ids[k]:
+                    continue  # another text under the same doc_id
+                if now != (names[k], tiles[k]):
+                    now, members = (names[k], tiles[k]), Members(percent)
+                if roles[k] == 0:
+                    members.add(s, ids[k])
+                elif members.sets and (m := members.linked(s)) is not None:
+                    a.append(ids[k])
+                    b.append(m)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 class Join:
     """One run over ``docs`` (doc_id, text); ``nodes`` are distinct sets with a document of each."""
 
@@ -293,30 +360,48 @@ class Join:
         members = salted.select(F.col("b").alias("pivot"), "salt", F.lit(1).alias("role"), F.col("a").alias("set_id"))
         members = members.unionAll(salted.select(F.col("b").alias("pivot"), "salt", F.lit(0).alias("role"), F.col("b").alias("set_id")).distinct())
         members = table(members.join(node.select("set_id", "rep"), "set_id").select("pivot", "salt", "role", "set_id", "rep"), "members")
-        few = members.count() <= BROADCAST_ROWS
-        placed = self.docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep"))
-        dealt = placed.select("pivot", "salt", "role", "set_id", "text").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "set_id")
+        dealt = self.with_texts(members).select("pivot", "salt", "role", "set_id", "text").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "set_id")
         out = table(dealt.mapInArrow(partial(_verify, width=self.width, percent=self.percent), "a long, b long"), "links")
         drop_table(kept)
         drop_table(members)
         return out
 
-    def tiled(self, lists: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
-        """Pairs between different classes that share a list, that signatures let pass and that were not tried."""
+    def with_texts(self, members: DataFrame) -> DataFrame:
+        """Rows of a table with the texts of their documents (rep)."""
+        few = members.count() <= BROADCAST_ROWS
+        return self.docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep"))
+
+    def tiled(self, lists: DataFrame, classes: DataFrame) -> DataFrame:
+        """(f, k, other, size): of each set f and each other class k of ``size`` members that share a list and that signatures do not keep apart, the likeliest partner."""
         by_key = Window.partitionBy("key")
-        own = lists.join(classes, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
+        named = classes.join(sizes, "component").select("set_id", "component", "size")
+        own = lists.join(named, "set_id", "left").select("key", "set_id", "n", "band", F.coalesce("component", "set_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
         own = own.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key))
         own = own.withColumn("members", F.count("*").over(by_key)).where("lo <> hi")
-        own = own.withColumn("bands", F.max("band").over(by_key) - F.min("band").over(by_key)).where("members > 2 or bands > 0")
         tiles = F.ceil(F.col("members") / TILE).cast("int")
         mine = F.pmod(F.xxhash64("set_id"), tiles).cast("int")
-        spread = own.select("key", "set_id", "n", "component", mine.alias("mine"), F.explode(F.when(F.col("members") > 2 * TILE, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(-1)))).alias("other"))
-        keyed = spread.select("key", F.when(F.col("other") < 0, 0).otherwise(F.least("mine", "other")).alias("p"), F.when(F.col("other") < 0, 0).otherwise(F.greatest("mine", "other")).alias("q"), "n", "set_id", "component")
-        with_bits = keyed.join(self.nodes.select("set_id", "bits"), "set_id").select("key", "p", "q", "n", "set_id", "component", "bits")
+        spread = own.select("key", "set_id", "n", "component", "size", mine.alias("mine"), F.explode(F.when(F.col("members") > 2 * TILE, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(-1)))).alias("other"))
+        keyed = spread.select("key", F.when(F.col("other") < 0, 0).otherwise(F.least("mine", "other")).alias("p"), F.when(F.col("other") < 0, 0).otherwise(F.greatest("mine", "other")).alias("q"), "n", "set_id", "component", "size")
+        with_bits = keyed.join(self.nodes.select("set_id", "bits"), "set_id").select("key", "p", "q", "n", "set_id", "component", "size", "bits")
         dealt = with_bits.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "n", "set_id")
         with batch_rows(self.spark, 10_000):
-            found = dealt.mapInArrow(partial(_tiles, percent=self.percent), "a long, b long").distinct()
-            return table(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+            found = dealt.mapInArrow(partial(_tiles, percent=self.percent), "f long, k long, other long, share double")
+            best = found.groupBy("f", "k").agg(F.max(F.struct("share", F.col("other").alias("o"))).alias("b"))
+            return table(best.select("f", "k", F.col("b.o").alias("other")).join(sizes.select(F.col("component").alias("k"), "size"), "k", "left").select("f", "k", "other", F.coalesce("size", F.lit(1)).alias("size")), "likely")
+
+    def against(self, open_: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links (a, b) of the sets f with the whole of class k, of the rows (f, k, size) of ``open_``."""
+        tiles = F.ceil(F.col("size") / MEMBERS).cast("int")
+        hubs = open_.select("k", "size").distinct()
+        members = classes.join(hubs, classes.component == hubs.k).select("k", F.pmod(F.xxhash64("set_id"), tiles).cast("int").alias("tile"), F.lit(0).alias("role"), "set_id")
+        others = open_.select("k", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(1).alias("role"), F.col("f").alias("set_id"))
+        both = members.unionAll(others).join(self.nodes.select("set_id", "rep"), "set_id")
+        both = table(both.select("k", "tile", "role", "set_id", "rep"), "members")
+        dealt = self.with_texts(both).select("k", "tile", "role", "set_id", "text").repartition("k", "tile").sortWithinPartitions("k", "tile", "role", "set_id")
+        out = table(dealt.mapInArrow(partial(_against, width=self.width, percent=self.percent), "a long, b long"), "links")
+        drop_table(both)
+        return out
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -329,15 +414,24 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     """
     run = Join(docs, width, percent)
     lists = run.lists()
-    pairs = lists.where("set_id <> pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b"), F.col("pivot").alias("to"))
-    star = table(pairs.groupBy("a", "b").agg(F.min("to").alias("to")), "star")
-    first = run.links(star.select(F.expr("if(to = a, b, a)").alias("a"), F.col("to").alias("b")))
-    found = table(components(first), "classes")
-    rest = run.tiled(lists, found.select(F.col("node").alias("set_id"), "component"), star.select("a", "b"))
-    if not rest.isEmpty():
-        more = run.links(rest)
-        edges = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
-        found = table(components(edges), "classes")
+    shared = lists.where("set_id <> pivot").groupBy("set_id", "pivot").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("set_id").orderBy(F.desc("c"), "pivot")
+    star = table(shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).select(F.col("set_id").alias("a"), F.col("pivot").alias("b")), "star")
+    links = run.links(star)
+    found = table(components(links).select(F.col("node").alias("set_id"), "component"), "classes")
+    likely = run.tiled(lists, found)
+    tried = star.unionAll(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = table(likely.select(F.col("f").alias("a"), F.col("other").alias("b")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    known = found.where("set_id <> component").select(F.col("set_id").alias("a"), F.col("component").alias("b"))
+    more = run.links(pairs)
+    after = table(components(known.unionAll(more)).select(F.col("node").alias("set_id"), "component"), "classes")
+    left = likely.where("size > 1").join(after.select(F.col("set_id").alias("f"), F.col("component").alias("cf")), "f", "left").join(after.select(F.col("set_id").alias("k"), F.col("component").alias("ck")), "k", "left")
+    left = table(left.where("coalesce(cf, f) <> coalesce(ck, k)").select("f", "k", "size"), "open")
+    if not left.isEmpty():
+        last = run.against(left, found)
+        known = after.where("set_id <> component").select(F.col("set_id").alias("a"), F.col("component").alias("b"))
+        after = table(components(known.unionAll(last)).select(F.col("node").alias("set_id"), "component"), "classes")
+    found = after.select(F.col("set_id").alias("node"), "component")
     drop_table(lists)
     named = run.nodes.select("set_id", "rep").join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
