@@ -9,10 +9,12 @@ A document is its set of 64-bit shingle hashes; equal sets are one node. Steps:
 2. Two sets that are similar enough share a shingle among the first ``n - ceil(t n) + 1`` of each in any
    common order. Each set files itself under those; the order puts shingles that many sets hold last,
    so what many documents quote files few of them. Lists of one set go.
-3. Each set is compared with the members that stand first in most of its lists; signatures first, then
-   exactly. Copies and near copies, whose lists are long, come together here without all their pairs.
-4. Lists that still join different classes are compared in tiles of bounded size by signatures. Of each
-   set and each larger class that signatures do not keep apart, the likeliest pair is intersected.
+3. Each set is compared with the most central members of most of its lists, and the two of lists of two with
+   each other; signatures first, then exactly. Copies and near copies, whose lists are long, come together
+   here without all their pairs.
+4. Lists that still join different classes are compared in tiles of bounded size by signatures, some of
+   the lists first. Of each set and each class not smaller than its own that signatures do not keep
+   apart, the likeliest pair is intersected.
 5. What is still apart goes against the whole class, in tiles of its members: wide signatures, then exact
    intersections up to the first link.
 
@@ -41,6 +43,7 @@ HOT_LOCAL, HOT_GLOBAL = 8, 64  # counts in a task, and over all tasks, from whic
 HOT_ROWS = 1 << 20  # frequent shingles that the order knows; more only makes lists longer
 CHUNK = 1 << 23  # shingles that a task holds for counting
 FIRST = 3  # members that a set is compared with before there are classes
+EARLY = 8  # one of so many lists is compared before all are
 MEMBERS = 1024  # members of a class in one tile against other sets
 TILE = 4096  # members of a list compared in one tile where it has more than two tiles' worth
 BROADCAST_ROWS = 2_000_000  # rows of five numbers that may be broadcast
@@ -156,7 +159,7 @@ def _measure(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
 
 def _file(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
-    """(key, set_id, n): each set under the first shingles of it, once in a task."""
+    """(key, set_id, n): each set under the first shingles of it, once in a task. Above bit 32 of n is the share, in thousandths, of frequent shingles."""
     hot, level = frequent.value
     coarse = np.zeros(1 << 20, bool)
     coarse[(hot >> U64(44)).astype(np.int64)] = True
@@ -176,9 +179,12 @@ def _file(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent)
                     rank = np.zeros(n, np.int64)
                     rank[maybe] = np.where(hot[k] == s[maybe], level[k], 0)
                     s = s[np.lexsort((s, rank))]
+                    central = 1000 * int((rank > 0).sum()) // n
+                else:
+                    central = 0
                 keys.append(s[:first])
                 ids.append(x)
-                sizes.append(n)
+                sizes.append(n + (central << 32))
             count = [len(k) for k in keys]
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids), count)), pa.array(np.repeat(np.array(sizes), count))], names=["key", "set_id", "n"])
@@ -334,17 +340,22 @@ class Join:
         self.nodes = table(self.rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
 
     def lists(self) -> DataFrame:
-        """(key, set_id, n, band, pivot): lists of two sets or more."""
+        """(key, set_id, n, band, pivot, members): lists of two sets or more.
+
+        Of a list and band the pivot is the set with the largest share of frequent shingles: among near copies
+        the one with the least of its own, which most of the others are likeliest to link with.
+        """
         hot = self.frequent.toPandas()  # HOT_ROWS at most
         shingle = hot["doc_id"].to_numpy(np.int64).view(U64)
         order = np.argsort(shingle)
         shared = self.spark.sparkContext.broadcast((shingle[order], hot["c"].to_numpy(np.int64)[order]))
         posts = self.docs.mapInArrow(partial(_file, width=self.width, percent=self.percent, frequent=shared), "key long, set_id long, n long")
-        posts = posts.withColumn("band", F.floor(F.log("n") / float(np.log(100 / self.percent))).cast("int"))
-        by_key = Window.partitionBy("key")
-        found = posts.repartition("key").withColumn("pivot", F.min(F.struct("n", "set_id")).over(Window.partitionBy("key", "band")))
-        found = found.withColumn("lo", F.min("set_id").over(by_key)).withColumn("hi", F.max("set_id").over(by_key)).where("lo <> hi")
-        return table(found.select("key", "set_id", "n", "band", F.col("pivot.set_id").alias("pivot")), "lists")
+        by_key, size = Window.partitionBy("key"), F.col("n").bitwiseAND((1 << 32) - 1)
+        posts = posts.repartition("key").withColumn("band", F.floor(F.log(size) / float(np.log(100 / self.percent))).cast("int"))
+        first = F.min(F.struct((-F.shiftright("n", 32)).alias("c"), size.alias("n"), "set_id")).over(Window.partitionBy("key", "band"))
+        found = posts.withColumn("pivot", first).withColumn("lo", F.min("set_id").over(by_key)).withColumn("hi", F.max("set_id").over(by_key)).where("lo <> hi")
+        found = found.withColumn("members", F.count("*").over(by_key))
+        return table(found.select("key", "set_id", size.alias("n"), "band", F.col("pivot.set_id").alias("pivot"), "members"), "lists")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that are similar enough: signatures first, then whole sets from the texts."""
@@ -376,7 +387,7 @@ class Join:
         by_key = Window.partitionBy("key")
         sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
         named = classes.join(sizes, "component").select("set_id", "component", "size")
-        own = lists.join(named, "set_id", "left").select("key", "set_id", "n", "band", F.coalesce("component", "set_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+        own = lists.where("members > 2").join(named, "set_id", "left").select("key", "set_id", "n", "band", F.coalesce("component", "set_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
         own = own.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key))
         own = own.withColumn("members", F.count("*").over(by_key)).where("lo <> hi")
         tiles = F.ceil(F.col("members") / TILE).cast("int")
@@ -404,6 +415,14 @@ class Join:
         return out
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (set_id, component) after more links."""
+    if links.isEmpty():
+        return found
+    known = found.where("set_id <> component").select(F.col("set_id").alias("a"), F.col("component").alias("b"))
+    return table(components(known.unionAll(links)).select(F.col("node").alias("set_id"), "component"), "classes")
+
+
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest doc_id that links reach.
 
@@ -416,21 +435,24 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     lists = run.lists()
     shared = lists.where("set_id <> pivot").groupBy("set_id", "pivot").agg(F.count("*").alias("c"))
     order = Window.partitionBy("set_id").orderBy(F.desc("c"), "pivot")
-    star = table(shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).select(F.col("set_id").alias("a"), F.col("pivot").alias("b")), "star")
+    star = shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
+    two = lists.where("members = 2").groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).select("a", "b").distinct()
+    star = table(star.unionAll(two).distinct(), "star")
     links = run.links(star)
     found = table(components(links).select(F.col("node").alias("set_id"), "component"), "classes")
-    likely = run.tiled(lists, found)
     tried = star.unionAll(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = table(likely.select(F.col("f").alias("a"), F.col("other").alias("b")).join(tried, ["a", "b"], "left_anti"), "pairs")
-    known = found.where("set_id <> component").select(F.col("set_id").alias("a"), F.col("component").alias("b"))
-    more = run.links(pairs)
-    after = table(components(known.unionAll(more)).select(F.col("node").alias("set_id"), "component"), "classes")
+    some = lists.where(F.pmod(F.xxhash64("key"), F.lit(EARLY)) == 0)
+    for part in (some, some, lists):  # what some of the lists join need not be compared again in every other
+        likely = run.tiled(part, found)
+        pairs = table(likely.select(F.col("f").alias("a"), F.col("other").alias("b")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionAll(pairs).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        more = run.links(pairs)
+        before, found = found, merged(found, more)
+    after, found = found, before
     left = likely.where("size > 1").join(after.select(F.col("set_id").alias("f"), F.col("component").alias("cf")), "f", "left").join(after.select(F.col("set_id").alias("k"), F.col("component").alias("ck")), "k", "left")
     left = table(left.where("coalesce(cf, f) <> coalesce(ck, k)").select("f", "k", "size"), "open")
     if not left.isEmpty():
-        last = run.against(left, found)
-        known = after.where("set_id <> component").select(F.col("set_id").alias("a"), F.col("component").alias("b"))
-        after = table(components(known.unionAll(last)).select(F.col("node").alias("set_id"), "component"), "classes")
+        after = merged(after, run.against(left, found))
     found = after.select(F.col("set_id").alias("node"), "component")
     drop_table(lists)
     named = run.nodes.select("set_id", "rep").join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
