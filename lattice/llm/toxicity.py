@@ -122,9 +122,9 @@ def _restored(data: bytes, model: CharModel) -> bytes:
         if len(_memo) > 200_000:
             _memo.clear()
         text = data.decode("utf-8", "replace")
-        core = re.sub(r"^[^\w@$!|+(<*]+|[^\w]+$", "", text)
+        before, core, after = re.fullmatch(r"([^\w@$!|+(<*]*)(.*?)(\W*)", text, re.DOTALL).groups()
         parts = [core[i : i + 60] for i in range(0, len(core), 60)]
-        _memo[data] = " ".join(restore(p, model) for p in parts).encode()
+        _memo[data] = (before + " ".join(restore(p, model) for p in parts) + after).encode()
     return _memo[data]
 
 
