@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +51,21 @@ BROADCAST_ROWS = 1_000_000
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The side of a join, marked for broadcast if its known number of rows is within the limit."""
     return F.broadcast(df) if rows <= limit else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of a session whose Python path does not have it."""
+    root = Path(__file__).resolve().parents[2]
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]
+    context = spark.sparkContext
+    if context.applicationId in _shipped or any(p and Path(p).resolve() == root for p in paths) or not (root / "lattice").is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lattice-")) / "lattice.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for f in sorted((root / "lattice").rglob("*.py")):
+            out.write(f, f.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
