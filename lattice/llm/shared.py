@@ -1,48 +1,18 @@
-"""What the operators share: the shared folder, tables that cut lineage, linked components, held-out rows."""
+"""What the operators share: batches, linked components, held-out rows; tables in the shared folder from the array side."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattice.plans.storage import drop_table, fresh_path, ship, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='lattice-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lattice-{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lost executors cost no earlier step, and sizes are known."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Deletes a table() that no later result reads."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lattice-" in path:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["components", "drop_table", "fresh_path", "held_out", "small_batches", "table"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: texts are long, and a batch is held whole. A smaller setting of the user's stays."""
+    """Arrow batches of few rows: texts are long, and a batch is held whole. A smaller setting of the user's stays. Ships the package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     have = int(spark.conf.get(key, "10000"))
     if not 0 < have <= rows:
