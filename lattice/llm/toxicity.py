@@ -249,24 +249,33 @@ def _evidence(batches: Iterator[pa.RecordBatch], models: list[Toxicity]) -> Iter
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
-    """Logistic regression of the label on evidence by Newton's method; the intercept alone if there is one class."""
-    a = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(3)
+    """Logistic regression of the label on evidence by Newton's method; the intercept alone if there is one class.
+
+    More evidence never lowers the score: a slope that comes out below 0 is left out and the rest fitted again.
+    """
     if not len(y):
         return (0.0, 0.0, 0.0)
     if y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return (float(np.log(share / (1 - share))), 0.0, 0.0)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(3), a.T @ (y - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+    used = [0, 1]
+    while True:
+        a = np.column_stack((np.ones(len(x)), x[:, used]))
+        w = np.zeros(a.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+            w = w + step
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[1:] >= 0).all():
             break
-    return tuple(float(v) for v in w)
+        used.pop(int(np.argmin(w[1:])))
+    slope = dict(zip(used, w[1:], strict=True))
+    return float(w[0]), float(slope.get(0, 0.0)), float(slope.get(1, 0.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, support: int = 4, odds: float = 2.0) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, support: int = 4, odds: float = 3.0) -> Toxicity:
     """Fits on at most ``max_rows`` labels. Forms need ``support`` texts with the label and a log odds ratio of ``odds``.
 
     Weights are counted on either half of the sample and the curve is fitted to the other half's texts, so
