@@ -90,8 +90,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity bitmap of a set; its width in bits is the power of two from twice the size, 64 at least."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """Parity bitmap of a set; its width in bits is the power of two from its size up, 64 at least."""
+    width = max(64, 1 << (len(s) - 1).bit_length())
     bits = np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -387,6 +387,7 @@ class Join:
         by_key = Window.partitionBy("key")
         sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
         named = classes.join(sizes, "component").select("set_id", "component", "size")
+        named = F.broadcast(named) if classes.count() <= BROADCAST_ROWS else named
         own = lists.where("members > 2").join(named, "set_id", "left").select("key", "set_id", "n", "band", F.coalesce("component", "set_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
         own = own.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key))
         own = own.withColumn("members", F.count("*").over(by_key)).where("lo <> hi")
