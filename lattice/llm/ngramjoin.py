@@ -39,9 +39,9 @@ from lattice.llm.text import GRAPH, U64, blocks, mix, words
 
 WIDTH = 5
 PERCENT = 80
-HOT_LOCAL, HOT_GLOBAL = 8, 64  # counts in a task, and over all tasks, from which a shingle's order counts as frequent
+HOT_LOCAL, HOT_GLOBAL = 4, 64  # counts in a task, and over all tasks, from which a shingle's order counts as frequent
 HOT_ROWS = 1 << 20  # frequent shingles that the order knows; more only makes lists longer
-CHUNK = 1 << 23  # shingles that a task holds for counting
+CHUNK = 1 << 21  # shingles that a task holds for counting
 FIRST = 3  # members that a set is compared with before there are classes
 EARLY = 8  # one of so many lists is compared before all are
 MEMBERS = 1024  # members of a class in one tile against other sets

@@ -44,7 +44,7 @@ class Encoder:
 
     SLOTS = 1 << 19
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 1_500_000):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -114,7 +114,7 @@ class Encoder:
                 rows, data = miss[where[lack]], buf.tobytes()
                 at[lack] = self.add([data[s:e].decode("utf-8", "replace") for s, e in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)])
                 self.recent.update(zip(new[lack].tolist(), at[lack].tolist(), strict=True))
-                if len(self.recent) > 100_000:
+                if len(self.recent) > 50_000:
                     more = np.fromiter(self.recent.keys(), U64, len(self.recent))
                     more_at = np.fromiter(self.recent.values(), np.int32, len(self.recent))
                     both, both_at = np.concatenate((self.known, more)), np.concatenate((self.known_at, more_at))

@@ -119,7 +119,7 @@ _memo: dict[tuple, bytes] = {}
 
 def _restored(data: bytes, model: CharModel) -> bytes:
     if data not in _memo:
-        if len(_memo) > 200_000:
+        if len(_memo) > 50_000:
             _memo.clear()
         text = data.decode("utf-8", "replace")
         before, core, after = re.fullmatch(r"([^\w@$!|+(<*]*)(.*?)(\W*)", text, re.DOTALL).groups()
