@@ -28,7 +28,7 @@ from lattice.llm.shared import small_batches
 from lattice.llm.text import ALNUM, LOWER, U64, blocks, spans, words, words_of
 
 SHARD = 1 << 19  # indexed words of a shard; a longer text is a shard of its own
-HELD = 1 << 25  # bytes of text that a shard holds where the text is wanted back
+HELD = 1 << 23  # bytes of text that a shard holds where the text is wanted back
 SAMPLE = 8  # every so many positions of a shard are kept for locating
 
 HITS = "doc_id long, text_hash long, n_words long, spans array<struct<start:int,stop:int>>, items array<long>"
