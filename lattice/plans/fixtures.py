@@ -12,6 +12,7 @@ SIDE, TILE = 128, 32
 GRID = ArrayMeta((SIDE, SIDE), (TILE, TILE))
 CUBE, BLOCK = 16, 4
 VERTICES = 1000
+QUERY_STEP = 20
 TAPS = [float((t * 7 + 3) % 16) for t in range(17)]
 CONFIGS = ["baseline", "software", "hardware"]
 
@@ -25,6 +26,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
 
 
+def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points that searches look for: every row whose id is divisible by QUERY_STEP."""
+    return points(spark, sf_dir).where(F.col("id") % QUERY_STEP == 0)
+
+
 def point_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(i, j, v) of the points."""
     return points(spark, sf_dir).select(F.col("id").alias("i"), F.posexplode("features").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), "v")

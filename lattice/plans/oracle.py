@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattice.plans.fixtures import TILE, VERTICES, sql
+from lattice.plans.fixtures import QUERY_STEP, TILE, VERTICES, sql
 
 T = TILE
 _PRODUCT = sql("SELECT a.i, b.j, sum(a.v * b.v) AS v FROM grid a JOIN grid b ON a.j = b.i GROUP BY 1, 2", "grid")
@@ -132,3 +132,8 @@ ORACLE_SQL = {
         both_ AS (SELECT * FROM w UNION ALL SELECT dst, src, w, seq + 1 FROM w)
         SELECT src, dst, arg_max(w, seq) AS w FROM both_ GROUP BY 1, 2""",
 }
+
+#: Forms over whole tables of queries whose SQL above takes a part of the rows.
+ORACLE_SQL |= {
+    **{f"{k}_whole": ORACLE_SQL[k].replace("q.i < 32", f"q.i % {QUERY_STEP} = 0") for k in ("neg2_dot", "knn_topk")},
+}

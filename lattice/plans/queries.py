@@ -128,6 +128,18 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return cluster.knn(p, p.where("id < 32"), 4).select("q", F.col("rk").cast("long").alias("rk"), "ref", rounded(F.col("dist")).alias("dist"))
 
 
+def neg2_dot_whole(spark: SparkSession, d: str) -> DataFrame:
+    """neg2_dot for all query rows, those whose id is divisible by QUERY_STEP."""
+    p = fx.points(spark, d)
+    return linalg.scaled_gram(fx.query_points(spark, d), p).select("q", "ref", rounded(F.col("v")).alias("v"))
+
+
+def knn_topk_whole(spark: SparkSession, d: str) -> DataFrame:
+    """knn_topk for all query rows, those whose id is divisible by QUERY_STEP."""
+    found = cluster.knn(fx.points(spark, d), fx.query_points(spark, d), 4)
+    return found.select("q", F.col("rk").cast("long").alias("rk"), "ref", rounded(F.col("dist")).alias("dist"))
+
+
 def kmeans_assign(spark: SparkSession, d: str) -> DataFrame:
     p = fx.points(spark, d)
     return cluster.assign(p, cluster.seeds(p, 4)).select("id", F.col("cid").cast("long").alias("cid"))
