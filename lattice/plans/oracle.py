@@ -136,4 +136,5 @@ ORACLE_SQL = {
 #: Forms over whole tables of queries whose SQL above takes a part of the rows.
 ORACLE_SQL |= {
     **{f"{k}_whole": ORACLE_SQL[k].replace("q.i < 32", f"q.i % {QUERY_STEP} = 0") for k in ("neg2_dot", "knn_topk")},
+    "trace_merge_whole": ORACLE_SQL["trace_merge"].replace(" WHERE seq <= 150", ""),
 }

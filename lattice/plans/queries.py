@@ -285,6 +285,13 @@ def trace_merge(spark: SparkSession, d: str) -> DataFrame:
     return events.select("name", "ph", F.col("tid").cast("long").alias("tid"), "ts")
 
 
+def trace_merge_whole(spark: SparkSession, d: str) -> DataFrame:
+    """trace_merge without its bound on seq: the first 100 intervals of each stage and all others are the two traces."""
+    own = fx.intervals(spark, d)
+    events = telemetry.merged([telemetry.trace_events(own.where("seq <= 100")), telemetry.trace_events(own.where("seq > 100"))])
+    return events.select("name", "ph", F.col("tid").cast("long").alias("tid"), "ts")
+
+
 def log_parse(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.parse_log(fx.log_lines(spark, d), "event_id", group="log").select("log", F.col("ordinal").cast("long").alias("ordinal"), rounded(F.col("seconds"), 6).alias("seconds"))
 

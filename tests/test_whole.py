@@ -34,3 +34,11 @@ def test_searches_take_every_query_row(spark, features):
     dots = {(r.q, r.ref): r.v for r in QUERIES["neg2_dot_whole"](spark, SF).collect()}
     assert dots.keys() == {(q, ref) for q in wanted for ref in range(len(features))}
     assert all(abs(v + 2 * features[q] @ features[ref]) < 1e-4 for (q, ref), v in dots.items())
+
+
+def test_merged_trace_has_every_interval(spark):
+    (n,), = read(f"select count(*) from '{SF}/events.parquet'")
+    got = QUERIES["trace_merge_whole"](spark, SF).collect()
+    assert len(got) == 2 * n
+    starts = read(f"select event_type, epoch_us(ts) from '{SF}/events.parquet'")
+    assert sorted((r.name, r.ts) for r in got if r.ph == "B") == sorted(starts)
