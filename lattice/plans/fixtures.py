@@ -13,6 +13,7 @@ GRID = ArrayMeta((SIDE, SIDE), (TILE, TILE))
 CUBE, BLOCK = 16, 4
 VERTICES = 1000
 QUERY_STEP = 20
+DIMS = 64
 TAPS = [float((t * 7 + 3) % 16) for t in range(17)]
 CONFIGS = ["baseline", "software", "hardware"]
 

@@ -11,6 +11,7 @@ from lattice.plans import fixtures as fx
 from lattice.plans.meta import ArrayMeta
 
 FIRST = ArrayMeta((64, 64), (16, 16))  # the first 64 points as a square matrix
+GRAM_ROWS = 256  # points in a tile of the product over all points
 HEAT = stencil.HeatConstants(0.125, 1.0, 1.0, 8.0)  # powers of two, so sums are exact in any order
 ROUNDS = 5
 
@@ -114,6 +115,23 @@ def gemm_f16(spark: SparkSession, d: str) -> DataFrame:
     return linalg.matmul(a, a, FIRST, FIRST, in_type="f16", acc_type="f64").select("i", "j", rounded(F.col("v")).alias("v"))
 
 
+def _gram(spark: SparkSession, d: str, in_type: str) -> DataFrame:
+    """The points, transposed, times the points: 64 x 64 sums over every row."""
+    p = fx.point_cells(spark, d)
+    n = (p.agg(F.max("i")).first()[0] or 0) + 1
+    rows = ArrayMeta((n, fx.DIMS), (GRAM_ROWS, 16))
+    across = ArrayMeta((fx.DIMS, n), (16, GRAM_ROWS))
+    return linalg.matmul(layout.transpose(p), p, across, rows, in_type=in_type, acc_type="f64").select("i", "j", rounded(F.col("v")).alias("v"))
+
+
+def gemm_f32_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _gram(spark, d, "f32")
+
+
+def gemm_f16_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _gram(spark, d, "f16")
+
+
 def squared_norms(spark: SparkSession, d: str) -> DataFrame:
     return fx.points(spark, d).select("id", rounded(squared_norm(F.col("features"))).alias("v"))
 

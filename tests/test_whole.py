@@ -42,3 +42,13 @@ def test_merged_trace_has_every_interval(spark):
     assert len(got) == 2 * n
     starts = read(f"select event_type, epoch_us(ts) from '{SF}/events.parquet'")
     assert sorted((r.name, r.ts) for r in got if r.ph == "B") == sorted(starts)
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float16])
+def test_reduced_products_are_over_every_row(spark, features, kind):
+    name = {np.float32: "gemm_f32_whole", np.float16: "gemm_f16_whole"}[kind]
+    x = features.astype(kind).astype(float)
+    got = np.full((64, 64), np.nan)
+    for r in QUERIES[name](spark, SF).collect():
+        got[r.i, r.j] = r.v
+    assert len(x) > 64 and np.abs(got - x.T @ x).max() < 1e-4
