@@ -68,8 +68,16 @@ def matrix(spark: SparkSession) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed weighted graph of 1000 vertices."""
-    own = _read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return own.groupBy((F.col("l_orderkey") % VERTICES).alias("src"), (F.col("l_partkey") % VERTICES).alias("dst")).agg(F.min("l_quantity").cast("long").alias("w"))
+    return _edges(_read(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+def edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from every line of every order."""
+    return _edges(_read(spark, sf_dir, "lineitem"))
+
+
+def _edges(lines: DataFrame) -> DataFrame:
+    return lines.groupBy((F.col("l_orderkey") % VERTICES).alias("src"), (F.col("l_partkey") % VERTICES).alias("dst")).agg(F.min("l_quantity").cast("long").alias("w"))
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

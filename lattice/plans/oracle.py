@@ -138,5 +138,6 @@ ORACLE_SQL |= {
     **{f"{k}_whole": ORACLE_SQL[k].replace("q.i < 32", f"q.i % {QUERY_STEP} = 0") for k in ("neg2_dot", "knn_topk")},
     "gemm_f32_whole": sql("SELECT a.j AS i, b.j, round(sum(a.v::FLOAT::DOUBLE * b.v::FLOAT::DOUBLE), 4) + 0.0::DOUBLE AS v FROM cells1 a JOIN cells1 b USING (i) GROUP BY 1, 2", "cells1"),
     "gemm_f16_whole": sql(f"+h AS (SELECT i, j, {_HALF.format('v')} AS v FROM cells1) SELECT a.j AS i, b.j, round(sum(a.v * b.v), 4) + 0.0::DOUBLE AS v FROM h a JOIN h b USING (i) GROUP BY 1, 2", "cells1"),
+    **{f"{k}_whole": ORACLE_SQL[k].replace(" WHERE l_linenumber = 1", "").replace("range(4)", f"range({VERTICES})") for k in ("element_filters", "bfs", "bellman_ford", "out_degree", "pagerank", "graph_csr", "graph_csr_targets", "graph_adjlist", "graph_dense_row", "graph_edge_check", "graph_differences")},
     "trace_merge_whole": ORACLE_SQL["trace_merge"].replace(" WHERE seq <= 150", ""),
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from lattice.operators import cluster, generate, graph, layout, linalg, stencil,
 from lattice.plans import fixtures as fx
 from lattice.plans.meta import ArrayMeta
 
+Edges = Callable[[SparkSession, str], DataFrame]
+
 FIRST = ArrayMeta((64, 64), (16, 16))  # the first 64 points as a square matrix
 GRAM_ROWS = 256  # points in a tile of the product over all points
 HEAT = stencil.HeatConstants(0.125, 1.0, 1.0, 8.0)  # powers of two, so sums are exact in any order
@@ -46,8 +51,8 @@ def tile_roundtrip_3d(spark: SparkSession, d: str) -> DataFrame:
     return layout.to_cells_3d(layout.to_tiles_3d(fx.cube(spark, d), fx.BLOCK), fx.BLOCK).where("v <> 0")
 
 
-def element_filters(spark: SparkSession, d: str) -> DataFrame:
-    return fx.edges(spark, d).where("w <> 0 and w > 0 and src <> dst").select("src", "dst", "w")
+def element_filters(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
+    return edges(spark, d).where("w <> 0 and w > 0 and src <> dst").select("src", "dst", "w")
 
 
 def scalar_clamps(spark: SparkSession, d: str) -> DataFrame:
@@ -178,46 +183,46 @@ def kmeans_delta(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(changes)), "round long, changed long")
 
 
-def bfs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bfs(fx.edges(spark, d), fx.VERTICES)
+def bfs(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
+    return graph.bfs(edges(spark, d), fx.VERTICES)
 
 
-def bellman_ford(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shortest_paths(fx.edges(spark, d), fx.VERTICES)[0]
+def bellman_ford(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
+    return graph.shortest_paths(edges(spark, d), fx.VERTICES)[0]
 
 
-def out_degree(spark: SparkSession, d: str) -> DataFrame:
-    return graph.out_degree(fx.edges(spark, d), fx.VERTICES)
+def out_degree(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
+    return graph.out_degree(edges(spark, d), fx.VERTICES)
 
 
-def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(fx.edges(spark, d), fx.VERTICES).select("v", rounded(F.col("rank"), 10).alias("rank"))
+def pagerank(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
+    return graph.pagerank(edges(spark, d), fx.VERTICES).select("v", rounded(F.col("rank"), 10).alias("rank"))
 
 
-def graph_csr(spark: SparkSession, d: str) -> DataFrame:
-    e = fx.edges(spark, d)
+def graph_csr(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
+    e = edges(spark, d)
     return graph.csr_rows(e, fx.VERTICES)
 
 
-def graph_csr_targets(spark: SparkSession, d: str) -> DataFrame:
-    return graph.csr_targets(fx.edges(spark, d)).select("src", F.col("place").cast("long").alias("place"), "dst")
+def graph_csr_targets(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
+    return graph.csr_targets(edges(spark, d)).select("src", F.col("place").cast("long").alias("place"), "dst")
 
 
-def graph_adjlist(spark: SparkSession, d: str) -> DataFrame:
-    return graph.adjacency_lines(fx.edges(spark, d), fx.VERTICES)
+def graph_adjlist(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
+    return graph.adjacency_lines(edges(spark, d), fx.VERTICES)
 
 
-def graph_dense_row(spark: SparkSession, d: str) -> DataFrame:
-    return graph.dense_rows(fx.edges(spark, d), 4, fx.VERTICES)
+def graph_dense_row(spark: SparkSession, d: str, edges: Edges = fx.edges, rows: int = 4) -> DataFrame:
+    return graph.dense_rows(edges(spark, d), rows, fx.VERTICES)
 
 
-def graph_edge_check(spark: SparkSession, d: str) -> DataFrame:
-    e = fx.edges(spark, d)
+def graph_edge_check(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
+    e = edges(spark, d)
     return graph.edge_check(graph.mirrored(e), e.count())
 
 
-def graph_differences(spark: SparkSession, d: str) -> DataFrame:
-    e = fx.edges(spark, d)
+def graph_differences(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
+    e = edges(spark, d)
     return graph.differences(e.where("w > 5"), e.where("w < 40"))
 
 
@@ -348,3 +353,10 @@ def gen_tensor(spark: SparkSession, d: str) -> DataFrame:
 
 def gen_graph(spark: SparkSession, d: str) -> DataFrame:
     return generate.random_graph(spark, 500)
+
+
+#: The graph queries over the edges of every line; graph_dense_row with every row of the matrix.
+GRAPH_WHOLE = {
+    f"{q.__name__}_whole": partial(q, edges=fx.edges_whole)
+    for q in (element_filters, bfs, bellman_ford, out_degree, pagerank, graph_csr, graph_csr_targets, graph_adjlist, graph_edge_check, graph_differences)
+} | {"graph_dense_row_whole": partial(graph_dense_row, edges=fx.edges_whole, rows=fx.VERTICES)}

@@ -11,4 +11,4 @@ from lattice.plans.oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(queries, name) for name in ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: queries.GRAPH_WHOLE[name] if name in queries.GRAPH_WHOLE else getattr(queries, name) for name in ORACLE_SQL}

@@ -52,3 +52,38 @@ def test_reduced_products_are_over_every_row(spark, features, kind):
     for r in QUERIES[name](spark, SF).collect():
         got[r.i, r.j] = r.v
     assert len(x) > 64 and np.abs(got - x.T @ x).max() < 1e-4
+
+
+@pytest.fixture(scope="module")
+def edges():
+    out = {}
+    for src, dst, w in read(f"select l_orderkey % 1000, l_partkey % 1000, l_quantity from '{SF}/lineitem.parquet'"):
+        out[src, dst] = min(int(w), out.get((src, dst), 1 << 30))
+    return out
+
+
+def test_graphs_have_every_line(spark, edges):
+    got = {(r.src, r.dst): r.w for r in QUERIES["element_filters_whole"](spark, SF).collect()}
+    assert got == {(a, b): w for (a, b), w in edges.items() if a != b}
+    dense = QUERIES["graph_dense_row_whole"](spark, SF)
+    assert dense.count() == 1000 * 1000
+    assert {(r.i, r.j): r.v for r in dense.where("v <> 0").collect()} == edges
+
+
+def test_paths_over_every_line(spark, edges):
+    near, far = {}, {0: 0}
+    for (a, b), w in edges.items():
+        near.setdefault(a, []).append((b, w))
+    hops, front = {0: 0}, [0]
+    while front:
+        found = {b for a in front for b, _ in near.get(a, ())} - hops.keys()
+        hops |= dict.fromkeys(found, max(hops.values()) + 1)
+        front = found
+    fell = True
+    while fell:
+        fell = False
+        for (a, b), w in edges.items():
+            if a in far and far[a] + w < far.get(b, 1 << 30):
+                far[b], fell = far[a] + w, True
+    assert {r.v: r.dist for r in QUERIES["bellman_ford_whole"](spark, SF).collect()} == {v: far.get(v, 2147483647) for v in range(1000)}
+    assert {r.v: r.cost for r in QUERIES["bfs_whole"](spark, SF).collect()} == {v: hops.get(v, -1) for v in range(1000)}
