@@ -183,6 +183,18 @@ def kmeans_delta(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(changes)), "round long, changed long")
 
 
+def kmeans_fit_whole(spark: SparkSession, d: str) -> DataFrame:
+    """kmeans_fit to the operator's own stop."""
+    found, _, _ = cluster.fit(fx.points(spark, d), 4)
+    return found.select("id", F.col("cid").cast("long").alias("cid"))
+
+
+def kmeans_delta_whole(spark: SparkSession, d: str) -> DataFrame:
+    """kmeans_delta to the operator's own stop."""
+    _, _, changes = cluster.fit(fx.points(spark, d), 4)
+    return spark.createDataFrame(list(enumerate(changes)), "round long, changed long")
+
+
 def bfs(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
     return graph.bfs(edges(spark, d), fx.VERTICES)
 

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lattice.plans.registry import QUERIES
+from lattice.plans.registry import BRUTE_FORCE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +87,15 @@ def test_paths_over_every_line(spark, edges):
                 far[b], fell = far[a] + w, True
     assert {r.v: r.dist for r in QUERIES["bellman_ford_whole"](spark, SF).collect()} == {v: far.get(v, 2147483647) for v in range(1000)}
     assert {r.v: r.cost for r in QUERIES["bfs_whole"](spark, SF).collect()} == {v: hops.get(v, -1) for v in range(1000)}
+
+
+def test_kmeans_runs_to_its_stop(spark, features):
+    now, before, changes = features[:4], None, []
+    while not changes or changes[-1] / len(features) > 0.001:
+        cid = ((features[:, None] - now[None]) ** 2).sum(2).argmin(1)
+        changes.append(len(cid) if before is None else int((cid != before).sum()))
+        now = np.array([features[cid == c].mean(0) if (cid == c).any() else now[c] for c in range(4)])
+        before = cid
+    assert len(changes) > 5
+    assert [r.changed for r in BRUTE_FORCE["kmeans_delta_whole"](spark, SF).orderBy("round").collect()] == changes
+    assert {r.id: r.cid for r in BRUTE_FORCE["kmeans_fit_whole"](spark, SF).collect()} == dict(enumerate(before.tolist()))
