@@ -124,8 +124,11 @@ class Surrogates:
                 return x
 
     def spelled(self, value: str, tweak: str, hold: int = 0, fits: Callable[[str], bool] = lambda s: True) -> str:
-        """Digits for digits and letters for letters of ``value``; its first ``hold`` characters stay. Lower-case hex stays hex."""
-        hexed = bool(re.fullmatch(r"[0-9a-f]+", value)) and not value.isdigit()
+        """Digits for digits and letters for letters of ``value``; its first ``hold`` characters stay. Lower-case hex with a digit and a letter stays such hex.
+
+        Nothing else becomes such hex, so a surrogate has its value's form and values of different forms cannot meet.
+        """
+        hexed = _hexed(value)
         sets = ["" if k < hold or not c.isascii() else "0123456789abcdef" if hexed else "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else "" for k, c in enumerate(value)]
         form = "".join("h" if hexed and s else s[:1] or c for s, c in zip(sets, value, strict=True))
         n, x = 1, 0
@@ -142,7 +145,7 @@ class Surrogates:
                 out.append(c)
             return "".join(reversed(out))
 
-        return text(self.permuted(x, n, f"{tweak}:{form}", lambda y: fits(text(y))))
+        return text(self.permuted(x, n, f"{tweak}:{form}", lambda y: _hexed(text(y)) == hexed and fits(text(y))))
 
     def _of(self, kind: str, value: str) -> str:
         """The surrogate of a canonical value."""
@@ -150,7 +153,8 @@ class Surrogates:
             local, domain = value.rsplit("@", 1)
             labels = domain.split(".")
             hold = 2 if re.search(r"(^|\.)example\.(com|org|net)$", domain) else 1  # names kept for examples, and the top level
-            labels[:-hold] = [self.spelled(x, "label") for x in labels[:-hold]]
+            near = hold == 1 and labels[-1] in ("com", "org", "net")  # beside the names kept for examples, which it must not become
+            labels[:-hold] = [self.spelled(x, "label", 0, lambda s, last=k == len(labels) - 2: not (near and last and s == "example")) for k, x in enumerate(labels[:-hold])]
             return f"{self.spelled(local, 'local@' + domain)}@{'.'.join(labels)}"
         if kind == "ip":
             number = int(ipaddress.ip_address(value)) if _plain_ip(value) else sum(int(p) << 8 * k for k, p in enumerate(reversed(value.split("."))))
@@ -202,6 +206,10 @@ _SPELLING = {
 _PRIVATE = ((10 << 24, 1 << 24), ((172 << 24) + (16 << 16), 1 << 20), ((192 << 24) + (168 << 16), 1 << 16), (127 << 24, 1 << 24))
 
 
+def _hexed(value: str) -> bool:
+    return bool(re.fullmatch(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+", value))
+
+
 def _plain_ip(value: str) -> bool:
     a, *_, d = map(int, value.split("."))
     return 1 <= a <= 223 and 1 <= d <= 254

@@ -157,6 +157,17 @@ def test_names_that_meet_draw_again(spark):
     assert len(set(narrow)) < 300
 
 
+def test_short_addresses_of_all_forms_stay_apart(spark):
+    signs = "0189abfgxz"
+    values = [f"{p}{q}@d.de" for p in signs for q in ("", *signs)] + [f"u@{p}{q}.com" for p in signs for q in signs]
+    s = pii.Surrogates(KEY)
+    assert len({s.of("email", v) for v in values}) == len(values)
+    for hexed in ("a1", "0f", "deb", "abc123", "456789"):
+        assert pii._hexed(s.spelled(hexed, "x")) == pii._hexed(hexed)
+    entities = spark.createDataFrame([("email", v) for v in values], "kind string, value string")
+    assert pii.checked(entities, KEY, rounds=2)[1] == {}
+
+
 def test_documents_keep_rows_and_columns(spark, odd, none):
     out = pii.replaced(odd, KEY)
     assert out.columns == [*odd.columns, "_entities"]
