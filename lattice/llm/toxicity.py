@@ -1,9 +1,9 @@
 """Toxicity of texts whose words may be disguised: decode a noisy channel, then score what was meant.
 
-A word is suspect if a digit or sign stands before a letter in it, a letter comes three times running,
+A word is suspect if a digit or sign stands beside a letter in it, a letter comes three times running,
 its letters stand apart (``w o r d``, ``w.o.r.d``) or it mixes them. Its lattice has, at each character,
 the letters that it may stand for, with a cost for each kind of disguise: a look-alike, a dropped
-separator, a dropped repetition. The Viterbi path through the lattice under a character trigram model
+separator, a dropped repetition; a separator may also be a word's bound. The Viterbi path through the lattice under a character trigram model
 of the corpus is the word as it was meant. Original and restored words are both scored.
 
 Scoring: word forms and word beginnings that come with the label are weighed by log odds, counted over
@@ -62,14 +62,15 @@ class CharModel:
 
 
 def restore(word: str, model: CharModel) -> str:
-    """The likeliest word behind a disguised one (lower-case). Each state is the last two letters; a step takes or drops a character."""
+    """The likeliest words behind a disguised one (lower-case). Each state is the last two letters; a step takes or drops a character, or ends a word at a separator."""
     log = model.log
-    beam: dict[tuple, tuple] = {(0, 0, ""): (0.0, "")}  # (class before, last class, character before) -> cost, letters
+    # (class before, last class, character before) -> cost, letters as (letters before, last); chains, so that long words take linear time
+    beam: dict[tuple, tuple] = {(0, 0, ""): (0.0, None)}
     for ch in word:
         after: dict[tuple, tuple] = {}
 
-        def offer(key: tuple, cost: float, letters: str) -> None:
-            if key not in after or (cost, letters) < after[key]:  # noqa: B023
+        def offer(key: tuple, cost: float, letters: tuple | None) -> None:
+            if key not in after or cost < after[key][0]:  # noqa: B023
                 after[key] = (cost, letters)  # noqa: B023
 
         options = [(ch, 0.0)] if ch.isalpha() else []
@@ -77,14 +78,20 @@ def restore(word: str, model: CharModel) -> str:
         for (a, b, before), (cost, letters) in beam.items():
             for c, extra in options:
                 k = ord(c) - 96 if "a" <= c <= "z" else 27
-                offer((b, k, ch), cost + extra - log[a, b, k], letters + c)
+                offer((b, k, ch), cost + extra - log[a, b, k], (letters, c))
             if ch in SEPARATORS or not options:
                 offer((a, b, before), cost + COST_DROP, letters)
+                if letters and b:
+                    offer((b, 0, ch), cost - log[a, b, 0], (letters, " "))
             if letters and ch == before:
                 offer((a, b, before), cost + COST_REPEAT, letters)
-        beam = dict(sorted(after.items(), key=lambda x: x[1])[:64]) or beam
-    ends = [(cost - log[a, b, 0], letters) for (a, b, _), (cost, letters) in beam.items()]
-    return min(ends)[1]
+        beam = dict(sorted(after.items(), key=lambda x: x[1][0])[:64]) or beam
+    _, letters = min(((cost - (log[a, b, 0] if b else 0.0), letters) for (a, b, _), (cost, letters) in beam.items()), key=lambda x: x[0])
+    out = []
+    while letters:
+        letters, c = letters
+        out.append(c)
+    return "".join(reversed(out)).strip(" ")
 
 
 def suspects(low: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -95,14 +102,13 @@ def suspects(low: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, i
     letter, sign = _LETTER[low], _SIGN[low]
     flag = np.zeros(len(low), bool)
     flag[:-1] |= sign[:-1] & letter[1:]
+    flag[1:] |= sign[1:] & letter[:-1]
     flag[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
     apart = np.isin(low, [ord(c) for c in SEPARATORS if c != " "])
     flag[2:-1] |= apart[2:-1] & letter[1:-2] & letter[3:] & apart[:-3]  # a separator on either side of a single letter
     size = ends - starts
     word = np.unique(np.searchsorted(starts, np.flatnonzero(flag), side="right") - 1)
-    word = word[(word >= 0) & (size[word] >= 3) & (size[word] <= 40)] if len(word) else word
-    letters = np.concatenate(([0], np.cumsum(letter)))
-    word = word[letters[ends[word]] - letters[starts[word]] >= np.maximum(2, 0.4 * size[word])] if len(word) else word
+    word = word[(word >= 0) & (size[word] >= 3)] if len(word) else word
     for w in word.tolist():
         yield int(np.searchsorted(at, w, side="right")) - 1, int(starts[w]), int(ends[w])
     single = (size == 1) & (letter | sign)[starts] if len(starts) else np.zeros(0, bool)  # letters that stand apart, four or more
@@ -114,18 +120,24 @@ def suspects(low: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, i
                 yield t, int(starts[x]), int(ends[y - 1])
 
 
-_memo: dict[tuple, bytes] = {}
+_memo: dict[bytes, tuple[bytes, bytes]] = {}
+_SIGNS = re.escape("@$!|+(<*")
 
 
-def _restored(data: bytes, model: CharModel) -> bytes:
-    if data not in _memo:
+def _restored(data: bytes, model: CharModel) -> tuple[bytes, bytes]:
+    """The restored word or words, and the reading whose signs at the end are letters too, if there are any."""
+    if data in _memo:
+        return _memo[data]
+    text = data.decode("utf-8", "replace")
+    before, core, signs, after = re.fullmatch(rf"([^\w{_SIGNS}]*)(.*?)([{_SIGNS}]*)([^\w{_SIGNS}]*)", text, re.DOTALL).groups()
+    plain = restore(core, model) if core else ""
+    # Signs at the end may be letters or punctuation: both readings.
+    found = (before + plain + signs + after).encode(), restore(core + signs, model).encode() if signs else b""
+    if len(data) <= 200:
         if len(_memo) > 50_000:
             _memo.clear()
-        text = data.decode("utf-8", "replace")
-        before, core, after = re.fullmatch(r"([^\w@$!|+(<*]*)(.*?)(\W*)", text, re.DOTALL).groups()
-        parts = [core[i : i + 60] for i in range(0, len(core), 60)]
-        _memo[data] = (before + " ".join(restore(p, model) for p in parts) + after).encode()
-    return _memo[data]
+        _memo[data] = found
+    return found
 
 
 def restore_texts(texts: list[str], model: CharModel) -> list[str]:
@@ -137,7 +149,7 @@ def restore_texts(texts: list[str], model: CharModel) -> list[str]:
         parts, last = [], 0
         for _, a, b in sorted(suspects(low, np.array([0, len(low)]))):
             if a >= last:
-                parts += [data[last:a], _restored(low[a:b].tobytes(), model)]
+                parts += [data[last:a], _restored(low[a:b].tobytes(), model)[0]]
                 last = b
         out.append(b"".join([*parts, data[last:]]).decode("utf-8", "replace"))
     return out
@@ -147,7 +159,7 @@ def forms(buf: np.ndarray, offsets: np.ndarray, model: CharModel, known: np.ndar
     """(text, form) hashes of all words, restored words and their beginnings; only those in ``known`` if given."""
     low = LOWER[buf]
     own = [(low, offsets, None)]
-    found = [(t, _restored(low[a:b].tobytes(), model)) for t, a, b in suspects(low, offsets)]
+    found = [(t, w) for t, a, b in suspects(low, offsets) for w in _restored(low[a:b].tobytes(), model) if w]
     if found:
         data = b"".join(w for _, w in found)
         own.append((LOWER[np.frombuffer(data, np.uint8)], np.concatenate(([0], np.cumsum([len(w) for _, w in found]))), np.array([t for t, _ in found])))

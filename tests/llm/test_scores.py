@@ -44,6 +44,16 @@ def test_texts_with_disguised_words():
     assert got == ["You nitwit, met nitwit at 10:30 in 2024!", "", "", "all is plain here"]
 
 
+@pytest.mark.parametrize("text", ["a n i t w i t met", "p l a i n n i t w i t", "x y.o.u.n.i.t.w.i.t", "ni" + "i" * 60 + "twit", "p l a i n  s c o u n d r e l " * 8, "ni7wi7", "nitw!+", "a nitwi+", "n" + "." * 50 + "i.t.w.i.t"])
+def test_forms_of_disguised_words(text):
+    model = char_model("you met a nitwit and a scoundrel on the plain, plain nitwit, a plain scoundrel, you nitwit " * 20)
+    data = np.frombuffer(text.encode(), np.uint8)
+    known = {w: toxicity.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in ("nitwit", "scoundrel")}
+    _, got = toxicity.forms(data, np.array([0, len(data)]), model)
+    want = "scoundrel" if "d r e l" in text else "nitwit"
+    assert known[want] in got, toxicity.restore_texts([text], model)
+
+
 def test_toxicity_learns_and_sees_through_disguise(spark, odd, none):
     docs, labels = corpus(spark)
     model = toxicity.train(docs, labels)
