@@ -250,6 +250,15 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield from compare(tail)
 
 
+def _named(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to (set_id, text); texts without shingles are left out."""
+    for batch in batches:
+        for i, j, buf, offsets in blocks(batch):
+            sets = shingle_sets(*words(buf, offsets, GRAPH), width)
+            kept = [(set_id(s), k) for k, s in enumerate(sets, i) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), batch.column(1).take(pa.array([k for _, k in kept], pa.int64()))], names=["set_id", "text"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (pivot, salt, role, set_id, text) sorted so that a pivot's own text comes first: links (a, b)."""
     pivot, own = None, None
@@ -378,9 +387,14 @@ class Join:
         return out
 
     def with_texts(self, members: DataFrame) -> DataFrame:
-        """Rows of a table with the texts of their documents (rep)."""
+        """Rows of a table with the texts of their documents (rep), or, for sets of rows without doc_id only, with that of one of those rows."""
         few = members.count() <= BROADCAST_ROWS
-        return self.docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep"))
+        found = self.docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep")).select(*members.columns, "text")
+        lost = members.where("rep is null")
+        if lost.isEmpty():
+            return found
+        texts = self.docs.where("doc_id is null").mapInArrow(partial(_named, width=self.width), "set_id long, text string").dropDuplicates(["set_id"])
+        return found.unionAll(lost.join(texts, "set_id").select(*members.columns, "text"))
 
     def tiled(self, lists: DataFrame, classes: DataFrame) -> DataFrame:
         """(f, k, other, size): of each set f and each other class k of ``size`` members that share a list and that signatures do not keep apart, the likeliest partner."""

@@ -49,6 +49,15 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch):
     assert len({c for _, c in got.values()}) < len(texts)
 
 
+def test_near_copies_without_ids_link(spark):
+    base = prose(120, 4)
+    near = [" ".join([*base[:k], f"other{k}", *base[k + 1 :]]) for k in (30, 60)]
+    far = " ".join(prose(120, 5))
+    docs = spark.createDataFrame([(7, " ".join(base)), (None, near[0]), (None, near[1]), (None, far)], "doc_id long, text string")
+    got = ngramjoin.classes(docs).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 7), (0, 7), (7, 7)]
+
+
 def test_classes_of_odd_rows(spark, odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.classes(odd).collect()), key=repr)
     want = [(d, len(brute.shingles(t)), 1 if d == 5 else d) for d, t in ODD]
