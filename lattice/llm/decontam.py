@@ -1,69 +1,98 @@
 """Benchmark decontamination with an FM-index for each shard of training text.
 
-The windows of a block of benchmark items are the queries; a task indexes its own texts, shard by
-shard, and searches all windows at once:
+The windows of the benchmark's items are the queries; a task indexes its own texts, shard by shard, once,
+and searches all windows in each:
 
 * A word outside the benchmark's vocabulary cannot be in an occurrence, so a shard keeps only runs of
   vocabulary words that are as long as the shortest window, each run ended by a separator of its own.
 * Suffixes are sorted by prefix doubling over those not yet told apart; the Burrows-Wheeler transform
   goes into a wavelet matrix (a wavelet tree level by level) whose prefix counts answer ranks.
-* Backward search narrows all windows' intervals in step. Occurrences are located by walking to a
+* Backward search narrows the windows' intervals in step. Occurrences are located by walking to a
   sampled suffix position, and the words they cover merge into removal spans.
 
-The benchmark is held in blocks of bounded size, each searched in a pass over the documents.
+The items travel as word numbers, four bytes a word, in blocks of bounded size. A task holds the distinct
+words of the whole benchmark and one block at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.shared import small_batches
+from lattice.llm.shared import Task, small_batches
 from lattice.llm.text import ALNUM, LOWER, U64, blocks, spans, words, words_of
 
 SHARD = 1 << 19  # indexed words of a shard; a longer text is a shard of its own
-HELD = 1 << 23  # bytes of text that a shard holds where the text is wanted back
+HELD = 1 << 22  # bytes of text that a shard holds where the text is wanted back
 SAMPLE = 8  # every so many positions of a shard are kept for locating
+WINDOWS = 1 << 16  # windows searched in step
 
-HITS = "doc_id long, text_hash long, n_words long, spans array<struct<start:int,stop:int>>, items array<long>"
+HITS = "doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<long>"
 
 
 @dataclass(frozen=True)
 class Windows:
-    """Distinct windows of some items: word ids (0 is no word) by length, and each window's items."""
+    """Items as numbers of words (0 is no word), one after another; windows are runs of ``width`` or, of a shorter item, all of it."""
 
-    vocabulary: np.ndarray  # sorted word hashes; word id is the place plus 1
-    by_length: dict  # length -> (windows x length word ids, numbers of the windows)
-    items: list  # of each window, the item ids it occurs in
+    width: int
+    word: np.ndarray
+    first: np.ndarray  # where each item's words begin, one more than items
+    items: np.ndarray  # item ids
 
-    @property
-    def shortest(self) -> int:
-        return min(self.by_length, default=1)
+    def by_length(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows x length, item of each) for each length there is."""
+        size = np.diff(self.first)
+        length = np.minimum(size, self.width)
+        for n in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == n)
+            count = size[own] - n + 1
+            start = np.repeat(self.first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            for k in range(0, len(start), WINDOWS):
+                yield self.word[start[k : k + WINDOWS, None] + np.arange(n)].astype(np.int64), np.repeat(own, count)[k : k + WINDOWS]
 
 
-def windows_of(items: list[tuple[int, str]], width: int = 8) -> Windows:
-    """All runs of ``width`` words of the items; an item of fewer, but not none, is one window. Items without id or text have none."""
-    found: dict[tuple, set] = {}
+@dataclass(frozen=True)
+class Benchmark:
+    """The benchmark's distinct words (sorted hashes; a word's number is its place plus 1), its shortest window and its blocks."""
+
+    vocabulary: np.ndarray
+    shortest: int
+    blocks: list  # of Windows, or broadcasts of them
+
+    def each(self) -> Iterator[Windows]:
+        """The blocks one at a time; of a broadcast one the worker keeps nothing where there are several."""
+        for x in self.blocks:
+            if isinstance(x, Windows):
+                yield x
+                continue
+            yield x.value
+            if len(self.blocks) > 1 and hasattr(x, "_value"):
+                del x._value
+
+
+def benchmark_of(items: Iterable[tuple[int, str]], width: int = 8, block_chars: int = 4_000_000) -> Benchmark:
+    """The items' words in blocks of about so many characters. Items without id or text have no windows."""
+    blocks, now, size = [], [], 0
     for item, text in items:
-        if item is None:
-            continue
-        w = words_of(text, ALNUM).tolist()
-        for k in range(max(1, len(w) - width + 1) if w else 0):
-            found.setdefault(tuple(w[k : k + width]), set()).add(item)
-    vocabulary = np.unique(np.array([x for w in found for x in w], U64))
-    by_length: dict[int, tuple[list, list]] = {}
-    for n, w in enumerate(found):
-        rows = by_length.setdefault(len(w), ([], []))
-        rows[0].append(w)
-        rows[1].append(n)
-    ids = {k: (np.searchsorted(vocabulary, np.array(a, U64)).astype(np.int64) + 1, np.array(b)) for k, (a, b) in by_length.items()}
-    return Windows(vocabulary, ids, [sorted(x) for x in found.values()])
+        if item is not None and len(w := words_of(text, ALNUM)):
+            now.append((item, w))
+            size += len(text) + 8
+            if size >= block_chars:
+                blocks.append(now)
+                now, size = [], 0
+    blocks += [now] if now else []
+    vocabulary = np.unique(np.concatenate([np.zeros(0, U64), *(np.unique(np.concatenate([w for _, w in b])) for b in blocks)]))
+    shortest = min((min(width, len(w)) for b in blocks for _, w in b), default=1)
+    made = []
+    for b in blocks:
+        word = (np.searchsorted(vocabulary, np.concatenate([w for _, w in b])) + 1).astype(np.int32)
+        made.append(Windows(width, word, np.concatenate(([0], np.cumsum([len(w) for _, w in b]))), np.array([i for i, _ in b], np.int64)))
+    return Benchmark(vocabulary, shortest, made)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -155,7 +184,7 @@ class FMIndex:
         return out
 
 
-def _runs(word: np.ndarray, at: np.ndarray, windows: Windows, coarse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(word: np.ndarray, at: np.ndarray, windows: Benchmark, coarse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word id, text, place in the text) of the runs kept, each run with a separator behind it."""
     maybe = np.flatnonzero(coarse[(word >> U64(44)).astype(np.int64)])
     k = np.minimum(np.searchsorted(windows.vocabulary, word[maybe]), len(windows.vocabulary) - 1)
@@ -179,111 +208,77 @@ def _runs(word: np.ndarray, at: np.ndarray, windows: Windows, coarse: np.ndarray
     return symbol, text, place - at[text]
 
 
-def _search(symbol: np.ndarray, text: np.ndarray, place: np.ndarray, windows: Windows) -> tuple[dict, dict]:
+def _search(symbol: np.ndarray, text: np.ndarray, place: np.ndarray, benchmark: Benchmark) -> tuple[dict, dict]:
     """Of each text with occurrences: its hit word ranges, and its items."""
-    index = FMIndex(symbol, len(windows.vocabulary))
-    edge, pairs = np.zeros(len(symbol) + 1, np.int64), []
-    for length, (table, number) in windows.by_length.items():
-        row, low, high = index.search(table)
-        if len(row):
+    index = FMIndex(symbol, len(benchmark.vocabulary))
+    edge, items = np.zeros(len(symbol) + 1, np.int64), {}
+    for windows in benchmark.each():
+        for table, number in windows.by_length():
+            row, low, high = index.search(table)
+            if not len(row):
+                continue
             count = high - low
-            suffix = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
-            found = index.locate(suffix)
+            found = index.locate(np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count))
             np.add.at(edge, found, 1)
-            np.add.at(edge, found + length, -1)
-            pairs.append(np.unique(text[found] * len(windows.items) + np.repeat(number[row], count)))
+            np.add.at(edge, found + table.shape[1], -1)
+            for p in np.unique(text[found] * len(windows.items) + np.repeat(number[row], count)).tolist():
+                items.setdefault(p // len(windows.items), set()).add(int(windows.items[p % len(windows.items)]))
     hit = np.cumsum(edge)[:-1] > 0
     start = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1])))
     stop = np.flatnonzero(hit & ~np.concatenate((hit[1:], [False])))
     ranges: dict[int, list] = {}
     for t, a, b in zip(text[start].tolist(), place[start].tolist(), place[stop].tolist(), strict=True):
         ranges.setdefault(t, []).append((a, b + 1))
-    items: dict[int, set] = {}
-    for p in np.concatenate(pairs).tolist() if pairs else ():
-        items.setdefault(p // len(windows.items), set()).update(windows.items[p % len(windows.items)])
     return ranges, items
 
 
-def _scan(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Rows of HITS for batches of (doc_id, text_hash, text, more); the text and more follow if there are more."""
-    windows: Windows = shared.value
+def _shards(batches: Iterator[pa.RecordBatch], benchmark: Benchmark, held: int) -> Iterator[tuple[pa.Table, np.ndarray, dict, dict]]:
+    """(rows, words of each text, hit ranges, items) of one shard after another; the rows hold at most about ``held`` bytes of text."""
     coarse = np.zeros(1 << 20, bool)
-    coarse[(windows.vocabulary >> U64(44)).astype(np.int64)] = True
-    own, counts, parts, rows, size, held = [], [], [], 0, 0, 0
-
-    def flush() -> pa.RecordBatch:
-        ranges, items = _search(*(np.concatenate(x) for x in zip(*parts, strict=True)), windows) if size else ({}, {})
-        all_ = pa.Table.from_batches(own).combine_chunks().to_batches()[0]
-        spans_ = pa.array([[{"start": a, "stop": b} for a, b in ranges.get(k, ())] for k in range(rows)], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-        found = [all_.column(0), all_.column(1), pa.array(np.concatenate(counts)), spans_, pa.array([sorted(items.get(k, ())) for k in range(rows)], pa.list_(pa.int64()))]
-        names, more = ["doc_id", "text_hash", "n_words", "spans", "items"], all_.schema.names[2:]
-        if len(more) > 1:
-            found, names = [*found, *all_.columns[2:]], [*names, *more]
-        return pa.RecordBatch.from_arrays(found, names=names)
-
+    coarse[(benchmark.vocabulary >> U64(44)).astype(np.int64)] = True
+    own, counts, parts, rows, size, chars = [], [], [], 0, 0, 0
     for batch in batches:
         for i, j, buf, offsets in blocks(batch):
             word, at = words(buf, offsets, ALNUM)
-            own.append(batch.slice(i, j - i) if batch.num_columns > 3 else batch.slice(i, j - i).select([0, 1]))
+            own.append(batch.slice(i, j - i) if held else batch.slice(i, j - i).drop_columns(["text"]))
             counts.append(np.diff(at))
-            if len(windows.vocabulary):
-                symbol, text, place = _runs(word, at, windows, coarse)
+            if len(benchmark.vocabulary):
+                symbol, text, place = _runs(word, at, benchmark, coarse)
                 parts.append((symbol, text + rows, place))
                 size += len(symbol)
-            rows, held = rows + j - i, held + (len(buf) if batch.num_columns > 3 else 0)
-            if size >= SHARD or rows >= 20_000 or held >= HELD:
-                yield flush()
-                own, counts, parts, rows, size, held = [], [], [], 0, 0, 0
+            rows, chars = rows + j - i, chars + len(buf)
+            if size >= SHARD or rows >= 20_000 or 0 < held <= chars:
+                yield pa.Table.from_batches(own), np.concatenate(counts), *(_search(*(np.concatenate(x) for x in zip(*parts, strict=True)), benchmark) if size else ({}, {}))
+                own, counts, parts, rows, size, chars = [], [], [], 0, 0, 0
     if rows:
-        yield flush()
+        yield pa.Table.from_batches(own), np.concatenate(counts), *(_search(*(np.concatenate(x) for x in zip(*parts, strict=True)), benchmark) if size else ({}, {}))
 
 
-def _blocks_of(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about so many characters; the driver holds one block at a time."""
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1] or "") + 8
-        if size >= block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _hits(batches: Iterator[pa.RecordBatch], benchmark: Benchmark) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to HITS."""
+    for own, counts, ranges, items in _shards(batches, benchmark, 0):
+        found = pa.array([[{"start": a, "stop": b} for a, b in ranges.get(k, ())] for k in range(len(own))], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+        ids = pa.array([sorted(items.get(k, ())) for k in range(len(own))], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([own["doc_id"].combine_chunks(), pa.array(counts), found, ids], names=["doc_id", "n_words", "spans", "items"])
 
 
-def _passes(own: DataFrame, benchmark: DataFrame, width: int, block_chars: int, schema: str) -> list[DataFrame]:
-    """One scan of ``own`` for each block of the benchmark."""
-    context = own.sparkSession.sparkContext
-    sets = [context.broadcast(windows_of(b, width)) for b in _blocks_of(benchmark, block_chars)]
-    return [own.mapInArrow(partial(_scan, shared=x), schema) for x in sets or [context.broadcast(windows_of([], width))]]
+def _benchmark(docs: DataFrame, benchmark: DataFrame, width: int, block_chars: int) -> Benchmark:
+    """The benchmark with its blocks as broadcasts. The driver reads one item after another and holds their word numbers."""
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator()
+    made = benchmark_of(((r[0], r[1]) for r in rows), width, block_chars)
+    return Benchmark(made.vocabulary, made.shortest, [docs.sparkSession.sparkContext.broadcast(b) for b in made.blocks])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_chars: int = 4_000_000) -> DataFrame:
-    """Hits of each document: doc_id, text_hash, n_words, spans (word ranges hit, merged), items (ids of items found).
+    """Hits of each document: doc_id, n_words, spans (word ranges hit, merged), items (ids of items found).
 
     A row for each row of ``docs``; rows with the same or a null doc_id stay apart. Null texts have no
     words. An empty benchmark hits nothing. Items without id or text are left out; rows of one
     item_id are one item. Words are as in the module of texts: ASCII is lower-cased, ``ALNUM``.
     """
     small_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return _joined(_passes(own, benchmark, width, block_chars, HITS))
-
-
-def _joined(passes: list[DataFrame]) -> DataFrame:
-    """The rows of all passes over the same documents as those of one: spans merged, items put together."""
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionAll(more)
-    merged = every.groupBy("doc_id", "text_hash", "n_words").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
-    join = """aggregate(array_sort(s), cast(array() as array<struct<start:int,stop:int>>), (acc, x) -> case
-        when size(acc) > 0 and element_at(acc, -1).stop >= x.start
-        then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'stop', greatest(element_at(acc, -1).stop, x.stop))))
-        else concat(acc, array(x)) end)"""
-    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(passes)).cast("int"))).alias("copy")
-    return merged.select("doc_id", "text_hash", "n_words", F.expr(join).alias("spans"), "items", copies).drop("copy")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.mapInArrow(Task(_hits, benchmark=_benchmark(docs, benchmark, width, block_chars)), HITS)
 
 
 def digest(hits: DataFrame) -> DataFrame:
@@ -294,43 +289,39 @@ def digest(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, spans, more) to (text without the spans, more)."""
-    for batch in batches:
-        texts, ranges = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for k, found in enumerate(ranges):
-            if found:
-                data = (texts[k] or "").encode()
-                buf = np.frombuffer(data, np.uint8)
-                start, stop, _ = spans(LOWER[buf], np.array([0, len(buf)]), ALNUM)
-                kept, last = [], 0
-                for r in found:
-                    kept.append(data[last : start[r["start"]]].rstrip(b" "))
-                    last = stop[r["stop"] - 1]
-                kept.append(data[last:])
-                texts[k] = b"\n".join(kept).decode()
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
+def without(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The text without the word ranges; a line break stands for each."""
+    data = text.encode()
+    buf = np.frombuffer(data, np.uint8)
+    start, stop, _ = spans(LOWER[buf], np.array([0, len(buf)]), ALNUM)
+    kept, last = [], 0
+    for a, b in ranges:
+        kept.append(data[last : start[a]].rstrip(b" "))
+        last = stop[b - 1]
+    return b"\n".join([*kept, data[last:]]).decode()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], benchmark: Benchmark) -> Iterator[pa.RecordBatch]:
+    """(text, more) to (text without the spans, more)."""
+    for own, _, ranges, _ in _shards(batches, benchmark, HELD):
+        if ranges:
+            texts = own["text"].to_pylist()
+            for k, found in ranges.items():
+                texts[k] = without(texts[k], found)
+            own = own.set_column(0, "text", pa.array(texts, own.schema.field("text").type))
+        yield from own.to_batches()
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_chars: int = 4_000_000) -> DataFrame:
     """The documents without the spans that benchmark windows cover; a line break stands for each. n_chars, if there, follows.
 
-    Texts without hits stay as they are, null ones too. All rows and columns stay. With one block of
-    the benchmark no row moves; with more, spans are joined by hash and length of the text.
+    Texts without hits stay as they are, null ones too. All rows and columns stay, whatever their names; no row moves.
     """
     small_batches(docs.sparkSession)
-    names, more = docs.columns, [f for f in docs.schema.fields if f.name != "text"]
+    more = [f for f in docs.schema.fields if f.name != "text"]
     kinds = "".join(f", _{k} {f.dataType.simpleString()}" for k, f in enumerate(more))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", F.lit(0).alias("_"), *(F.col(f.name).alias(f"_{k}") for k, f in enumerate(more)))
-    passes = _passes(own, benchmark, width, block_chars, f"{HITS}, text string, _ int{kinds}")
-    if len(passes) == 1:
-        both = passes[0]
-    else:
-        key = [F.col("text_hash").alias("_h"), F.col("n_words").alias("_n")]
-        found = _joined([p.select("doc_id", "text_hash", "n_words", "spans", "items") for p in passes]).where(F.size("spans") > 0)
-        found = found.groupBy(*key).agg(F.first("spans").alias("_found"))
-        first = passes[0].drop("spans")
-        both = first.join(found, (first.text_hash == found._h) & (first.n_words == found._n), "left").withColumnRenamed("_found", "spans")
-    cut = both.select("text", "spans", *(f"_{k}" for k in range(len(more)))).mapInArrow(_cut, f"text string{kinds}")
-    out = cut.select(*(F.col("text") if n == "text" else F.col(f"_{[f.name for f in more].index(n)}").alias(n) for n in names))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    own = docs.select("text", *(F.col(f"`{f.name}`").alias(f"_{k}") for k, f in enumerate(more)))
+    cut = own.mapInArrow(Task(_cut, benchmark=_benchmark(docs, benchmark, width, block_chars)), f"text string{kinds}")
+    places = {f.name: k for k, f in enumerate(more)}
+    out = cut.select(*(F.col("text") if n == "text" else F.col(f"_{places[n]}").alias(n) for n in docs.columns))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -14,14 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.shared import small_batches
+from lattice.llm.shared import Task, small_batches
 from lattice.llm.text import ALNUM, U64, blocks, words, words_of
 
 # The phrases whose places are counted, and their labels.
@@ -53,7 +52,7 @@ class Automaton:
     next: list = field(default_factory=lambda: [{}])
     link: list = field(default_factory=lambda: [-1])
     length: list = field(default_factory=lambda: [0])
-    ends: list = field(default_factory=lambda: [{}])  # of each state, template -> last word of a place where it ends
+    ends: list = field(default_factory=lambda: [{}])  # of each state, template -> last words of all places where it ends
 
     def _new(self, length: int, nxt: dict, link: int) -> int:
         self.next.append(nxt)
@@ -87,14 +86,14 @@ class Automaton:
         state = 0
         for k, w in enumerate(sequence):
             state = self._extend(state, w)
-            self.ends[state].setdefault(template, k)
+            self.ends[state].setdefault(template, set()).add(k)
 
-    def finish(self) -> None:
-        """Hands each state's places on to the shorter matches that its suffix link leads to."""
+    def finish(self, long: int) -> None:
+        """Hands each state's places on to the shorter matches that its suffix link leads to, down to matches of ``long`` words."""
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for t, k in self.ends[s].items():
-                self.ends[self.link[s]].setdefault(t, k)
-        self.ends[0] = {}
+            if self.length[self.link[s]] >= long:
+                for t, places in self.ends[s].items():
+                    self.ends[self.link[s]].setdefault(t, set()).update(places)
 
     def state_of(self, sequence: list[int]) -> int:
         state = 0
@@ -118,7 +117,7 @@ class Scanner:
         self.machine = Automaton()
         for k, s in enumerate(sequences):
             self.machine.add(k - n, s)  # phrases have numbers below 0
-        self.machine.finish()
+        self.machine.finish(long)
         whole = {self.machine.state_of(s): k for k, s in enumerate(sequences[:n])}
         self.suffixes: list[tuple] = []  # of each state, the phrases that are suffixes of its longest match
         for s in range(len(self.machine.next)):
@@ -158,9 +157,9 @@ class Scanner:
         """Of each template, its best chain: (share of the template, first word, end word)."""
         by: dict[int, list] = {}
         for start, stop, state in matches:
-            for t, k in self.machine.ends[state].items():
+            for t, places in self.machine.ends[state].items():
                 if t >= 0:
-                    by.setdefault(t, []).append((start, stop, k + 1 - (stop - start), k + 1))
+                    by.setdefault(t, []).extend((start, stop, k + 1 - (stop - start), k + 1) for k in sorted(places))
         best = {}
         for t, found in by.items():
             top, open_ = (0, 0, 0), []  # open_: (covered, first word, stop, stop in the template) of chains within the gap
@@ -242,4 +241,4 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, long: int = 4, g
     covered. Null and empty texts have no words. Rows with the same or a null doc_id stay apart.
     """
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_scan, options=(phrases, templates, long, gap, enough)), FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(Task(_scan, options=(phrases, templates, long, gap, enough)), FOUND)

@@ -1,20 +1,23 @@
 """Exact self-join of documents by Jaccard similarity of their word shingles, and its linked classes.
 
-A document is its set of 64-bit shingle hashes; equal sets are one node. Steps:
+Documents are compared in size-banded tiles by hashed bitmap signatures, then by exact intersection of sorted
+arrays. A document is its set of 64-bit shingle hashes; equal sets are one node. Steps:
 
 1. Sizes, set ids and hashed bitmap signatures of all documents. A signature's bit is the parity of the
    shingles that hash to it, so the bits in which two differ are at most the shingles they do not share:
    the count of differing bits bounds the overlap from above. Its width follows the set's size, and a
    wider signature folds to a narrower one's width.
-2. Two sets that are similar enough share a shingle among the first ``n - ceil(t n) + 1`` of each in any
-   common order. Each set files itself under those; the order puts shingles that many sets hold last,
-   so what many documents quote files few of them. Lists of one set go.
+2. Sizes fall into bands so that similar sets are of one band or of neighbours. All pairs of a band and its
+   neighbour are too many, so a tile is what of a band files under one shingle: two sets that are similar
+   enough share a shingle among the first ``n - ceil(t n) + 1`` of each in any common order. The order
+   puts shingles that many sets hold last, so what many documents quote files few of them. Lists of one
+   set go; a list under a frequent shingle is dealt into parts.
 3. Each set is compared with the most central members of most of its lists, and the two of lists of two with
    each other; signatures first, then exactly. Copies and near copies, whose lists are long, come together
    here without all their pairs.
-4. Lists that still join different classes are compared in tiles of bounded size by signatures, some of
-   the lists first. Of each set and each class not smaller than its own that signatures do not keep
-   apart, the likeliest pair is intersected.
+4. Of lists that still join different classes, each band with its upper neighbour is a tile, split where it
+   is long; pairs in it are bounded by signatures, some of the lists first. Of each set and each class
+   not smaller than its own that signatures do not keep apart, the likeliest pair is intersected.
 5. What is still apart goes against the whole class, in tiles of its members: wide signatures, then exact
    intersections up to the first link.
 
@@ -27,14 +30,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattice.llm.shared import components, drop_table, small_batches, table
+from lattice.llm.shared import Task, components, drop_table, small_batches, table
 from lattice.llm.text import GRAPH, U64, blocks, mix, words
 
 WIDTH = 5
@@ -45,12 +47,20 @@ CHUNK = 1 << 21  # shingles that a task holds for counting
 FIRST = 3  # members that a set is compared with before there are classes
 EARLY = 8  # one of so many lists is compared before all are
 MEMBERS = 1024  # members of a class in one tile against other sets
-TILE = 4096  # members of a list compared in one tile where it has more than two tiles' worth
-BROADCAST_ROWS = 2_000_000  # rows of five numbers that may be broadcast
+TILE = 2048  # members of a band of a list compared in one tile where it has more than two tiles' worth
+PART = 256  # sets of a frequent shingle in a part of its list, about
+BROADCAST_BYTES = 64 << 20  # of the hash table of a side that may be broadcast
+
+GROUP = ("key", "tile", "p", "q")  # what names a tile
 
 _STEP = U64(0xD6E8FEB86659FD93)
 
 
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether so many rows of a few numbers each may be broadcast."""
+    return rows * (60 + 8 * len(df.columns)) <= BROADCAST_BYTES
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of so many rows within: rows of a few numbers travel in larger ones than texts."""
@@ -84,9 +94,14 @@ def shingle_sets(word: np.ndarray, at: np.ndarray, width: int = WIDTH) -> list[n
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    """64 bits of the whole set, as a signed integer."""
-    return int(mix(np.add.reduce(mix(s ^ _STEP), keepdims=True) + U64(len(s))).view(np.int64)[0])
+def set_id(s: np.ndarray, seed: int = 0) -> int:
+    """64 bits of the whole set, as a signed integer; seeds give independent ones."""
+    return int(mix(np.add.reduce(mix(s ^ (_STEP + U64(seed))), keepdims=True) + U64(len(s))).view(np.int64)[0])
+
+
+def band(n: Column, percent: int) -> Column:
+    """Bands of sizes: of two similar sets the larger is in the same band or the next."""
+    return F.floor(F.log(n) / float(np.log(100 / percent)) + 1e-9).cast("int")
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -131,21 +146,21 @@ class Signatures:
         return out
 
 
-def _measure(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, n, set_id, bits) of each document; kind 1: (shingle, count) of those frequent in this task."""
+def _measure(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """kind 0: (doc_id, n, set_id, check, bits) of each document; kind 1: (shingle, count) of those frequent in this task."""
     held, size, seen = [], 0, set()
-    names = ["kind", "doc_id", "n", "set_id", "bits"]
+    names = ["kind", "doc_id", "n", "set_id", "check", "bits"]
 
     def frequent() -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(held), return_counts=True)
         h, c = h[c >= HOT_LOCAL], c[c >= HOT_LOCAL]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(c), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(c), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary())], names=names)
 
     for batch in batches:
         for i, j, buf, offsets in blocks(batch):
             sets = shingle_sets(*words(buf, offsets, GRAPH), width)
-            ids = [set_id(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())], names=names)
+            ids, check = ([set_id(s, seed + k) if len(s) else None for s in sets] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())], names=names)
             for s, x in zip(sets, ids, strict=True):
                 if x is not None and x not in seen:
                     seen.add(x)
@@ -158,36 +173,39 @@ def _measure(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield frequent()
 
 
-def _file(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
-    """(key, set_id, n): each set under the first shingles of it, once in a task. Above bit 32 of n is the share, in thousandths, of frequent shingles."""
+def _file(batches: Iterator[pa.RecordBatch], width: int, percent: int, seed: int, frequent) -> Iterator[pa.RecordBatch]:
+    """(key, part, parts, set_id, n, central): each set under the first shingles of it, once in a task. central is the share, in thousandths, of frequent shingles."""
     hot, level = frequent.value
     coarse = np.zeros(1 << 20, bool)
     coarse[(hot >> U64(44)).astype(np.int64)] = True
     seen: set[int] = set()
     for batch in batches:
         for _, _, buf, offsets in blocks(batch):
-            keys, ids, sizes = [], [], []
+            keys, parts, ids, sizes, shares = [], [], [], [], []
             for s in shingle_sets(*words(buf, offsets, GRAPH), width):
-                if not len(s) or (x := set_id(s)) in seen:
+                if not len(s) or (x := set_id(s, seed)) in seen:
                     continue
                 seen.add(x)
                 n = len(s)
                 first = n + (-percent * n // 100) + 1  # n - ceil(t n) + 1
                 maybe = np.flatnonzero(coarse[(s >> U64(44)).astype(np.int64)])
+                rank = np.zeros(n, np.int64)
                 if len(maybe):
                     k = np.minimum(np.searchsorted(hot, s[maybe]), len(hot) - 1)
-                    rank = np.zeros(n, np.int64)
                     rank[maybe] = np.where(hot[k] == s[maybe], level[k], 0)
-                    s = s[np.lexsort((s, rank))]
-                    central = 1000 * int((rank > 0).sum()) // n
-                else:
-                    central = 0
+                    order = np.lexsort((s, rank))
+                    s, rank = s[order], rank[order]
                 keys.append(s[:first])
+                parts.append(rank[:first] // PART + 1)
                 ids.append(x)
-                sizes.append(n + (central << 32))
+                sizes.append(n)
+                shares.append(1000 * int((rank > 0).sum()) // n)
             count = [len(k) for k in keys]
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids), count)), pa.array(np.repeat(np.array(sizes), count))], names=["key", "set_id", "n"])
+                each = np.repeat(np.array(ids), count)
+                of = np.concatenate(parts)
+                part = (mix(each.view(U64)) % of.astype(U64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(part), pa.array(of.astype(np.int32)), pa.array(each), pa.array(np.repeat(np.array(sizes), count)), pa.array(np.repeat(np.array(shares, np.int32), count))], names=["key", "part", "parts", "set_id", "n", "central"])
 
 
 def _bound(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -202,18 +220,22 @@ def _bound(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, p, q, n, set_id, component, size, bits) sorted by the first four: for each set and class not smaller than its own that a tile may link, the likeliest partner (f, k, other, share)."""
+    """Rows (key, tile, p, q, n, set_id, band, component, size, bits) sorted by the first five: for each set and class not smaller than its own that a tile may link, the likeliest partner (f, k, other, share).
+
+    A tile has sets of the band it is named by, which come first, and of the next, which are not compared with each other.
+    """
     tail: pa.Table | None = None
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        group = np.stack([t[c].to_numpy() for c in ("key", "p", "q")])
+        group = np.stack([t[c].to_numpy() for c in GROUP])
         end = np.append(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1, t.num_rows)
         stop = np.repeat(end, np.diff(np.concatenate(([0], end))))
         n, ids, comp, size = (t[c].to_numpy() for c in ("n", "set_id", "component", "size"))
+        home = t["band"].to_numpy() == t["tile"].to_numpy()
         bits = t["bits"].chunk(0)
         found = Signatures(bits, n)
-        count = stop - np.arange(t.num_rows) - 1
+        count = np.where(home, stop - np.arange(t.num_rows) - 1, 0)
         i = 0
         total = np.cumsum(count)
         while i < t.num_rows:
@@ -240,8 +262,8 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         t = pa.Table.from_batches([batch])
         tail = t if tail is None else pa.concat_tables([tail, t])
         if tail.num_rows >= 20_000:
-            last = [tail[c][-1].as_py() for c in ("key", "p", "q")]
-            same = np.logical_and.reduce([tail[c].to_numpy() == v for c, v in zip(("key", "p", "q"), last, strict=True)])
+            last = [tail[c][-1].as_py() for c in GROUP]
+            same = np.logical_and.reduce([tail[c].to_numpy() == v for c, v in zip(GROUP, last, strict=True)])
             cut = int(np.argmax(same))
             if cut:
                 yield from compare(tail.slice(0, cut))
@@ -250,16 +272,16 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield from compare(tail)
 
 
-def _named(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _named(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text) to (set_id, text); texts without shingles are left out."""
     for batch in batches:
         for i, j, buf, offsets in blocks(batch):
             sets = shingle_sets(*words(buf, offsets, GRAPH), width)
-            kept = [(set_id(s), k) for k, s in enumerate(sets, i) if len(s)]
+            kept = [(set_id(s, seed), k) for k, s in enumerate(sets, i) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), batch.column(1).take(pa.array([k for _, k in kept], pa.int64()))], names=["set_id", "text"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Rows (pivot, salt, role, set_id, text) sorted so that a pivot's own text comes first: links (a, b)."""
     pivot, own = None, None
     for batch in batches:
@@ -267,7 +289,7 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         a, b = [], []
         for i, j, buf, offsets in blocks(batch):
             for k, s in enumerate(shingle_sets(*words(buf, offsets, GRAPH), width), i):
-                if set_id(s) != ids[k]:
+                if set_id(s, seed) != ids[k]:
                     continue  # another text under the same doc_id
                 if ids[k] == pivots[k]:
                     pivot, own = (pivots[k], salts[k]), s
@@ -315,7 +337,7 @@ class Members:
         return None
 
 
-def _against(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _against(batches: Iterator[pa.RecordBatch], width: int, percent: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Rows (class, tile, role, set_id, text) sorted so that a tile's members (role 0) come before the sets to compare: links (a, b)."""
     now, members = None, Members(percent)
     for batch in batches:
@@ -323,7 +345,7 @@ def _against(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
         a, b = [], []
         for i, j, buf, offsets in blocks(batch):
             for k, s in enumerate(shingle_sets(*words(buf, offsets, GRAPH), width), i):
-                if set_id(s) != ids[k]:
+                if set_id(s, seed) != ids[k]:
                     continue  # another text under the same doc_id
                 if now != (names[k], tiles[k]):
                     now, members = (names[k], tiles[k]), Members(percent)
@@ -339,32 +361,39 @@ class Join:
     """One run over ``docs`` (doc_id, text); ``nodes`` are distinct sets with a document of each."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.spark, self.width, self.percent = docs.sparkSession, width, percent
+        self.spark, self.width, self.percent, self.seed = docs.sparkSession, width, percent, 0
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         small_batches(self.spark)
-        measured = table(self.docs.mapInArrow(partial(_measure, width=width), "kind int, doc_id long, n long, set_id long, bits binary"), "sets")
-        self.rows = measured.where("kind = 0").select("doc_id", "n", "set_id", "bits")
+        while True:  # again under other seeds if two sets have one id, which a second id of each tells
+            measured = table(self.docs.mapInArrow(Task(_measure, width=width, seed=self.seed), "kind int, doc_id long, n long, set_id long, check long, bits binary"), "sets")
+            self.rows = measured.where("kind = 0").select("doc_id", "n", "set_id", "bits")
+            found = measured.where("kind = 0 and set_id is not null").groupBy("set_id")
+            self.nodes = table(found.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), (F.min("check") != F.max("check")).alias("mixed")), "nodes")
+            if self.nodes.where("mixed").isEmpty():
+                break
+            self.seed += 2
         frequent = measured.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("c")).where(F.col("c") >= HOT_GLOBAL)
         self.frequent = frequent.orderBy(F.desc("c"), "doc_id").limit(HOT_ROWS)
-        self.nodes = table(self.rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+        self.made = [measured, self.nodes]
 
     def lists(self) -> DataFrame:
-        """(key, set_id, n, band, pivot, members): lists of two sets or more.
+        """(key, part, parts, set_id, n, band, pivot, members): parts of lists, of two sets or more or of a list with other parts.
 
-        Of a list and band the pivot is the set with the largest share of frequent shingles: among near copies
-        the one with the least of its own, which most of the others are likeliest to link with.
+        Of a part and band the pivot is the set with the largest share of frequent shingles: among near copies
+        the one with the least of its own, which most of the others are likeliest to link with. The number
+        of parts follows the shingle's count, so none is long.
         """
         hot = self.frequent.toPandas()  # HOT_ROWS at most
         shingle = hot["doc_id"].to_numpy(np.int64).view(U64)
         order = np.argsort(shingle)
         shared = self.spark.sparkContext.broadcast((shingle[order], hot["c"].to_numpy(np.int64)[order]))
-        posts = self.docs.mapInArrow(partial(_file, width=self.width, percent=self.percent, frequent=shared), "key long, set_id long, n long")
-        by_key, size = Window.partitionBy("key"), F.col("n").bitwiseAND((1 << 32) - 1)
-        posts = posts.repartition("key").withColumn("band", F.floor(F.log(size) / float(np.log(100 / self.percent))).cast("int"))
-        first = F.min(F.struct((-F.shiftright("n", 32)).alias("c"), size.alias("n"), "set_id")).over(Window.partitionBy("key", "band"))
-        found = posts.withColumn("pivot", first).withColumn("lo", F.min("set_id").over(by_key)).withColumn("hi", F.max("set_id").over(by_key)).where("lo <> hi")
-        found = found.withColumn("members", F.count("*").over(by_key))
-        return table(found.select("key", "set_id", size.alias("n"), "band", F.col("pivot.set_id").alias("pivot"), "members"), "lists")
+        posts = self.docs.mapInArrow(Task(_file, width=self.width, percent=self.percent, seed=self.seed, frequent=shared), "key long, part int, parts int, set_id long, n long, central int")
+        by_part = Window.partitionBy("key", "part")
+        posts = posts.repartition("key", "part").withColumn("band", band(F.col("n"), self.percent))
+        first = F.min(F.struct((-F.col("central")).alias("c"), "n", "set_id")).over(Window.partitionBy("key", "part", "band"))
+        found = posts.withColumn("pivot", first).withColumn("lo", F.min("set_id").over(by_part)).withColumn("hi", F.max("set_id").over(by_part)).where("lo <> hi or parts > 1")
+        found = found.withColumn("members", F.count("*").over(by_part))
+        return table(found.select("key", "part", "parts", "set_id", "n", "band", F.col("pivot.set_id").alias("pivot"), "members"), "lists")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that are similar enough: signatures first, then whole sets from the texts."""
@@ -373,7 +402,7 @@ class Join:
         right = node.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
         with batch_rows(self.spark, 10_000):
             bound = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-            kept = table(bound.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(partial(_bound, percent=self.percent), "a long, b long"), "bound")
+            kept = table(bound.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(Task(_bound, percent=self.percent), "a long, b long"), "bound")
         salted = kept.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(64)))
         counts = kept.groupBy("b").agg(F.ceil(F.count("*") / 512).alias("salts"))
         salted = salted.join(counts, "b").withColumn("salt", F.pmod("salt", "salts"))
@@ -381,38 +410,38 @@ class Join:
         members = members.unionAll(salted.select(F.col("b").alias("pivot"), "salt", F.lit(0).alias("role"), F.col("b").alias("set_id")).distinct())
         members = table(members.join(node.select("set_id", "rep"), "set_id").select("pivot", "salt", "role", "set_id", "rep"), "members")
         dealt = self.with_texts(members).select("pivot", "salt", "role", "set_id", "text").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "set_id")
-        out = table(dealt.mapInArrow(partial(_verify, width=self.width, percent=self.percent), "a long, b long"), "links")
+        out = table(dealt.mapInArrow(Task(_verify, width=self.width, percent=self.percent, seed=self.seed), "a long, b long"), "links")
         drop_table(kept)
         drop_table(members)
         return out
 
     def with_texts(self, members: DataFrame) -> DataFrame:
         """Rows of a table with the texts of their documents (rep), or, for sets of rows without doc_id only, with that of one of those rows."""
-        few = members.count() <= BROADCAST_ROWS
+        few = fits(members, members.count())
         found = self.docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep")).select(*members.columns, "text")
         lost = members.where("rep is null")
         if lost.isEmpty():
             return found
-        texts = self.docs.where("doc_id is null").mapInArrow(partial(_named, width=self.width), "set_id long, text string").dropDuplicates(["set_id"])
+        texts = self.docs.where("doc_id is null").mapInArrow(Task(_named, width=self.width, seed=self.seed), "set_id long, text string").dropDuplicates(["set_id"])
         return found.unionAll(lost.join(texts, "set_id").select(*members.columns, "text"))
 
     def tiled(self, lists: DataFrame, classes: DataFrame) -> DataFrame:
         """(f, k, other, size): of each set f and each other class k of ``size`` members that share a list and that signatures do not keep apart, the likeliest partner."""
-        by_key = Window.partitionBy("key")
         sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
         named = classes.join(sizes, "component").select("set_id", "component", "size")
-        named = F.broadcast(named) if classes.count() <= BROADCAST_ROWS else named
-        own = lists.where("members > 2").join(named, "set_id", "left").select("key", "set_id", "n", "band", F.coalesce("component", "set_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-        own = own.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key))
-        own = own.withColumn("members", F.count("*").over(by_key)).where("lo <> hi")
+        named = F.broadcast(named) if fits(named, classes.count()) else named
+        own = lists.where("members > 2 or parts > 1").join(named, "set_id", "left").select("key", "set_id", "n", "band", F.coalesce("component", "set_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+        own = own.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "set_id", "n", "band", "component", "size")
+        open_ = own.groupBy("key", "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("band").alias("least"))
+        own = own.join(open_.where("lo <> hi and least = tile").select("key", "tile", "members"), ["key", "tile"])
         tiles = F.ceil(F.col("members") / TILE).cast("int")
         mine = F.pmod(F.xxhash64("set_id"), tiles).cast("int")
-        spread = own.select("key", "set_id", "n", "component", "size", mine.alias("mine"), F.explode(F.when(F.col("members") > 2 * TILE, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(-1)))).alias("other"))
-        keyed = spread.select("key", F.when(F.col("other") < 0, 0).otherwise(F.least("mine", "other")).alias("p"), F.when(F.col("other") < 0, 0).otherwise(F.greatest("mine", "other")).alias("q"), "n", "set_id", "component", "size")
-        with_bits = keyed.join(self.nodes.select("set_id", "bits"), "set_id").select("key", "p", "q", "n", "set_id", "component", "size", "bits")
-        dealt = with_bits.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "n", "set_id")
+        spread = own.select("key", "tile", "set_id", "n", "band", "component", "size", mine.alias("mine"), F.explode(F.when(F.col("members") > 2 * TILE, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(-1)))).alias("other"))
+        keyed = spread.select("key", "tile", F.when(F.col("other") < 0, 0).otherwise(F.least("mine", "other")).alias("p"), F.when(F.col("other") < 0, 0).otherwise(F.greatest("mine", "other")).alias("q"), "n", "set_id", "band", "component", "size")
+        with_bits = keyed.join(self.nodes.select("set_id", "bits"), "set_id").select("key", "tile", "p", "q", "n", "set_id", "band", "component", "size", "bits")
+        dealt = with_bits.repartition(*GROUP).sortWithinPartitions(*GROUP, "n", "set_id")
         with batch_rows(self.spark, 10_000):
-            found = dealt.mapInArrow(partial(_tiles, percent=self.percent), "f long, k long, other long, share double")
+            found = dealt.mapInArrow(Task(_tiles, percent=self.percent), "f long, k long, other long, share double")
             best = found.groupBy("f", "k").agg(F.max(F.struct("share", F.col("other").alias("o"))).alias("b"))
             return table(best.select("f", "k", F.col("b.o").alias("other")).join(sizes.select(F.col("component").alias("k"), "size"), "k", "left").select("f", "k", "other", F.coalesce("size", F.lit(1)).alias("size")), "likely")
 
@@ -425,7 +454,7 @@ class Join:
         both = members.unionAll(others).join(self.nodes.select("set_id", "rep"), "set_id")
         both = table(both.select("k", "tile", "role", "set_id", "rep"), "members")
         dealt = self.with_texts(both).select("k", "tile", "role", "set_id", "text").repartition("k", "tile").sortWithinPartitions("k", "tile", "role", "set_id")
-        out = table(dealt.mapInArrow(partial(_against, width=self.width, percent=self.percent), "a long, b long"), "links")
+        out = table(dealt.mapInArrow(Task(_against, width=self.width, percent=self.percent, seed=self.seed), "a long, b long"), "links")
         drop_table(both)
         return out
 
@@ -451,7 +480,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     shared = lists.where("set_id <> pivot").groupBy("set_id", "pivot").agg(F.count("*").alias("c"))
     order = Window.partitionBy("set_id").orderBy(F.desc("c"), "pivot")
     star = shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
-    two = lists.where("members = 2").groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).select("a", "b").distinct()
+    two = lists.where("members = 2").groupBy("key", "part").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).select("a", "b").distinct()
     star = table(star.unionAll(two).distinct(), "star")
     links = run.links(star)
     found = table(components(links).select(F.col("node").alias("set_id"), "component"), "classes")
@@ -486,7 +515,6 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     counts = kept.agg(F.count("*").alias("n"), F.countDistinct("_kept").alias("d")).first()
     ids = kept.distinct()
-    few = counts["d"] <= BROADCAST_ROWS
-    out = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
+    out = docs.join(F.broadcast(ids) if fits(ids, counts["d"]) else ids, docs["doc_id"].cast("long") == ids["_kept"], "left_semi")
     out = out if counts["n"] == counts["d"] else out.dropDuplicates(["doc_id"])
-    return out.unionAll(docs.where("doc_id is null"))
+    return out.unionAll(docs.where(docs["doc_id"].isNull()))

@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 Texts are tokenised once; only lengths and checksums leave the tokenising tasks. Pieces are then dealt
-at random into shards of bounded size and each shard is packed by best fit, longest piece first: a
+at random, by their place in the table of pieces, so that repeated rows spread too, into shards of bounded size and each shard is packed by best fit, longest piece first: a
 segment tree over remaining capacities finds the tightest open sequence in log2(length) steps. Packing
 a shard alone costs at most a few part-filled sequences out of tens of thousands, and no shard grows
 with the input, only their number.
@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.shared import small_batches, table
+from lattice.llm.shared import Task, small_batches, table
 from lattice.llm.text import blocks
 from lattice.llm.tokens import Vocabulary, encoder
 
@@ -116,7 +115,7 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, size: int = 2048) -> DataFra
     like any others. Other columns of ``docs`` are not read.
     """
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_cut, vocabulary=vocabulary, size=size), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(Task(_cut, vocabulary=vocabulary, size=size), PIECES)
 
 
 def _pack(shard: pa.Table, size: int) -> pa.Table:
@@ -133,7 +132,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, size: int = 2048, per_shard: i
     """
     cut = table(pieces(docs, vocabulary, size), "pieces")
     shards = max(1, -(-cut.where(F.col("length") < size).count() // per_shard))
-    part = cut.where(F.col("length") < size).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.lit(7)), F.lit(shards)))
+    part = cut.where(F.col("length") < size).withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(7)), F.lit(shards)))
     packed = part.groupBy("shard").applyInArrow(lambda shard: _pack(shard, size), f"{PIECES}, sequence_id long, offset long")
     full = cut.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionAll(full)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.shared import held_out, small_batches
+from lattice.llm.shared import Task, held_out, small_batches
 from lattice.llm.text import GRAPH, blocks, span_hashes, spans
 
 _b = np.arange(256)
@@ -175,20 +174,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, max_rows: int) -> DataFrame:
-    """(doc_id, y, text) of labelled rows that are not held out, ``max_rows`` labels of them at most, picked by a hash of the id.
+    """(doc_id, y, text) of labelled rows that are not held out, ``max_rows`` of them at most, picked by a hash of the id.
 
-    Several labels of one id count as their majority. Null ids and labels are left out.
+    Several labels of one id count as their majority; of several texts of one id one is taken, the smallest by
+    hash. Null ids and labels are left out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("y").alias("y"))
     picked = known.select("doc_id", (F.col("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most max_rows rows of 12 bytes
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most max_rows rows of 12 bytes
+    one = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("t"))
+    return one.select("doc_id", "y", F.col("t.text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     """Fits a model on the sample of ``labelled``; the driver holds its features, 17 numbers a row."""
     small_batches(docs.sparkSession)
-    rows = labelled(docs, labels, "quality", max_rows).select("y", "text").mapInArrow(_features, "y int, x array<double>").toPandas()
+    rows = labelled(docs, labels, "quality", max_rows).select("y", "text").mapInArrow(Task(_features), "y int, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     order = np.lexsort((*x.T, rows["y"].to_numpy()))  # the same sums however the rows arrive
     return fit(x[order], rows["y"].to_numpy(float)[order])
@@ -207,4 +209,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text")
-    return own.mapInArrow(partial(_score, shared=spark.sparkContext.broadcast(model), threshold=threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return own.mapInArrow(Task(_score, shared=spark.sparkContext.broadcast(model), threshold=threshold), "doc_id long, held_out boolean, score double, predicted int")

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.plans.storage import drop_table, fresh_path, ship, table
 
-__all__ = ["components", "drop_table", "fresh_path", "held_out", "small_batches", "table"]
+__all__ = ["Task", "components", "drop_table", "fresh_path", "held_out", "small_batches", "table"]
+
+
+class Task:
+    """A function of batches for mapInArrow. At its end the worker, which outlives the task, gives freed memory back to the system."""
+
+    def __init__(self, function: Callable, **options):
+        self.function, self.options = function, options
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from self.function(batches, **self.options)
+        pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

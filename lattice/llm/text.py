@@ -8,6 +8,7 @@ is a block of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +24,21 @@ ALNUM = ((_b >= 48) & (_b <= 57)) | ((_b >= 97) & (_b <= 122)) | (_b >= 128)
 #: Words between white space: every byte but space and \t \n \v \f \r.
 GRAPH = ~((_b == 32) | ((_b >= 9) & (_b <= 13)))
 
-_rng = np.random.Generator(np.random.PCG64(20240517))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=U64) | U64(1)
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
-_INV = U64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+LONG = 1024  # bytes beyond which a span is hashed by itself
+_LANE_MASK = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], U64)
+_STEP = U64(0x9E3779B97F4A7C15)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of them at least; no more than one block's are kept."""
-    if len(_powers.get("up", ())) >= n:
-        return _powers["up"], _powers["down"]
-    out = []
-    for base in (_BASE, _INV):
-        p = np.full(n, base, U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    if n <= 2 * BLOCK:
-        _powers["up"], _powers["down"] = out
-    return out[0], out[1]
+def lanes_of(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one little-endian number; zeros follow the buffer."""
+    data = np.zeros(len(buf) + 8, np.uint8)
+    data[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", data, strides=(1,))
+
+
+def lane(lanes: np.ndarray, starts: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """The k-th eight bytes of spans that have any there, cut off where the span ends."""
+    return lanes[starts + 8 * k] & _LANE_MASK[np.minimum(size - 8 * k, 8)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,13 +94,25 @@ def spans(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans: a polynomial over random byte values by prefix sums, then mixed with the length."""
+    """64-bit hashes of the byte spans, eight bytes a step.
+
+    Each step is bijective in the bytes it takes and in the hash so far, so two spans of one length of up
+    to eight bytes never meet, and no family of texts has sums that cancel. Spans of more than LONG bytes
+    go through BLAKE2.
+    """
     if not len(starts):
         return np.zeros(0, U64)
-    up, down = _power(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    size = np.asarray(ends) - starts
+    lanes = lanes_of(buf)
+    out = mix(mix(size.astype(U64) * _STEP + U64(1)) ^ lane(lanes, starts, size, 0))
+    at, k = np.flatnonzero((size > 8) & (size <= LONG)), 1
+    while len(at):
+        out[at] = mix(out[at] * _STEP + lane(lanes, starts[at], size[at], k))
+        k += 1
+        at = at[size[at] > 8 * k]
+    for n in np.flatnonzero(size > LONG).tolist():
+        out[n] = int.from_bytes(hashlib.blake2b(buf[starts[n] : starts[n] + size[n]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,9 @@ through the tokenizer once in a worker's memo. The places, for both patterns in
 
 No look-ahead of the patterns crosses them, so the ids are those of the whole text; anything else, such
 as double spaces or other scripts, only makes a chunk longer.
+
+The memo finds a chunk by a hash and then compares its bytes, so no two chunks can be taken for one another;
+chunks of more than ``Encoder.WIDEST`` bytes are not kept.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from lattice.llm.text import LOWER, U64, span_hashes
+from lattice.llm.text import LOWER, U64, lane, lanes_of, span_hashes
 
 _b = np.arange(256)
 _SPACE = (_b == 32) | ((_b >= 9) & (_b <= 13)) | ((_b >= 28) & (_b <= 31))
@@ -43,8 +46,9 @@ class Encoder:
     """Ids of blocks of texts. The memo holds at most about ``keep`` chunks; it starts anew beyond that."""
 
     SLOTS = 1 << 19
+    WIDEST = 64
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,6 +63,8 @@ class Encoder:
         self.recent: dict[int, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 1
         self.begin, self.size, self.n = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 1
+        self.bytes, self.lane_at = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.lanes, self.lanes_used = np.zeros(1 << 16, U64), 1
         self.ids[0], self.begin[0], self.size[0] = self.vocabulary.end_id, 0, 1  # chunk 0 is the end of a text
 
     def cuts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -95,9 +101,33 @@ class Encoder:
         return self.ids[take], at[np.concatenate(([0], first[1:] + np.arange(1, texts + 1)))]
 
     def look_up(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if self.n > self.keep:
+        """The memo's number of each chunk."""
+        if self.n > self.keep or self.used > 8 * self.keep:
             self.clear()
-        h = span_hashes(buf, starts, ends)
+        lanes, size, data = lanes_of(buf), ends - starts, buf.tobytes()
+        out = np.zeros(len(starts), np.int32)
+        wide = np.flatnonzero(size > self.WIDEST)
+        out[wide] = self.add(data, starts[wide], ends[wide])
+        at = np.flatnonzero(size <= self.WIDEST)
+        found = self.remembered(data, lanes, starts[at], ends[at])
+        unlike = np.flatnonzero(~self.same(lanes, starts[at], size[at], found))
+        found[unlike] = self.add(data, starts[at[unlike]], ends[at[unlike]])
+        out[at] = found
+        return out
+
+    def same(self, lanes: np.ndarray, starts: np.ndarray, size: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        """Whether the chunks kept under the numbers have these bytes."""
+        out = self.bytes[chunk] == size
+        at, k = np.flatnonzero(out), 0
+        while len(at):
+            out[at] = lane(lanes, starts[at], size[at], k) == self.lanes[self.lane_at[chunk[at]] + k]
+            k += 1
+            at = at[(size[at] > 8 * k) & out[at]]
+        return out
+
+    def remembered(self, data: bytes, lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers by hash, new chunks added."""
+        h = span_hashes(np.frombuffer(data, np.uint8), starts, ends)
         slot = (h >> U64(64 - 19)).astype(np.int64)
         out = self.slot_at[slot]
         miss = np.flatnonzero(self.slot_hash[slot] != h)
@@ -111,8 +141,9 @@ class Encoder:
                 at[j] = self.recent.get(int(new[j]), -1)
             lack = np.flatnonzero(at < 0)
             if len(lack):
-                rows, data = miss[where[lack]], buf.tobytes()
-                at[lack] = self.add([data[s:e].decode("utf-8", "replace") for s, e in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)])
+                rows = miss[where[lack]]
+                at[lack] = self.add(data, starts[rows], ends[rows])
+                self.keep_bytes(lanes, starts[rows], ends[rows] - starts[rows], at[lack])
                 self.recent.update(zip(new[lack].tolist(), at[lack].tolist(), strict=True))
                 if len(self.recent) > 50_000:
                     more = np.fromiter(self.recent.keys(), U64, len(self.recent))
@@ -125,15 +156,30 @@ class Encoder:
             out[miss] = at[back]
         return out
 
-    def add(self, chunks: list[str]) -> np.ndarray:
-        """Encodes new chunks and keeps their ids."""
+    def keep_bytes(self, lanes: np.ndarray, starts: np.ndarray, size: np.ndarray, chunk: np.ndarray) -> None:
+        count = (size + 7) // 8
+        total = int(count.sum())
+        while self.lanes_used + total > len(self.lanes):
+            self.lanes = np.concatenate((self.lanes, np.zeros(len(self.lanes), U64)))
+        begin = self.lanes_used + np.cumsum(count) - count
+        self.bytes[chunk], self.lane_at[chunk] = size, begin
+        for k in range(int(count.max(initial=0))):
+            at = np.flatnonzero(count > k)
+            self.lanes[begin[at] + k] = lane(lanes, starts[at], size[at], k)
+        self.lanes_used += total
+
+    def add(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encodes chunks; the numbers that their ids are kept under."""
+        if not len(starts):
+            return np.zeros(0, np.int32)
+        chunks = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
         while self.n + len(ids) > len(self.begin):
-            self.begin, self.size = (np.concatenate((x, np.zeros(len(x), np.int32))) for x in (self.begin, self.size))
+            self.begin, self.size, self.bytes, self.lane_at = (np.concatenate((x, np.zeros(len(x), np.int32))) for x in (self.begin, self.size, self.bytes, self.lane_at))
         own = slice(self.n, self.n + len(ids))
         self.ids[self.used : self.used + len(flat)] = flat
         self.size[own] = size

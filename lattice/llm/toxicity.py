@@ -3,8 +3,8 @@
 A word is suspect if a digit or sign stands beside a letter in it, a letter comes three times running,
 its letters stand apart (``w o r d``, ``w.o.r.d``) or it mixes them. Its lattice has, at each character,
 the letters that it may stand for, with a cost for each kind of disguise: a look-alike, a dropped
-separator, a dropped repetition; a separator may also be a word's bound. The Viterbi path through the lattice under a character trigram model
-of the corpus is the word as it was meant. Original and restored words are both scored.
+separator, a dropped repetition; a separator may also be a word's bound. The Viterbi path through the whole lattice
+under a character trigram model of the corpus is the word as it was meant. Original and restored words are both scored.
 
 Scoring: word forms and word beginnings that come with the label are weighed by log odds, counted over
 a bounded sample of labelled rows that are not held out; a logistic curve over the largest weight and the number
@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattice.llm.quality import labelled
-from lattice.llm.shared import drop_table, held_out, small_batches, table
+from lattice.llm.shared import Task, drop_table, held_out, small_batches, table
 from lattice.llm.text import ALNUM, GRAPH, LOWER, U64, blocks, mix, span_hashes, spans
 
 # Letters that a sign may stand for.
@@ -35,10 +34,14 @@ LOOK_ALIKES = {
 SEPARATORS = " .-_*~"
 COST_LOOK, COST_DROP, COST_REPEAT = 1.0, 0.5, 0.7  # in natural log units, beside the language model's
 BEGIN = (4, 5, 6, 7, 8)  # lengths in bytes of word beginnings that are forms of their own
+RUN = 3  # letters that stand apart, from so many on, are decoded as a run
+COUNTED = 1 << 20  # forms that a task holds before it passes on their counts
 
 _b = np.arange(256)
 _LETTER = (_b >= 97) & (_b <= 122)
 _SIGN = np.isin(_b, [ord(c) for c in LOOK_ALIKES if c not in "(<"])
+_DIGIT = (_b >= 48) & (_b <= 57)
+_MARK = np.isin(_b, [ord(c) for c in "!\"'(),.:;?[]{}"])
 #: Classes of the character model: 0 a word's bound, 1-26 letters, 27 any other byte of a word.
 _CLASS = np.where(_LETTER, _b - 96, np.where(ALNUM, 27, 0)).astype(np.int64)
 N_CLASS = 28
@@ -61,11 +64,20 @@ class CharModel:
         return CharModel(np.log(p3))
 
 
+def steps(ch: str) -> list[tuple[str, float]]:
+    """The letters that a character may stand for, each with its cost."""
+    return ([(ch, 0.0)] if ch.isalpha() else []) + [(c, COST_LOOK) for c in LOOK_ALIKES.get(ch, "")]
+
+
 def restore(word: str, model: CharModel) -> str:
-    """The likeliest words behind a disguised one (lower-case). Each state is the last two letters; a step takes or drops a character, or ends a word at a separator."""
+    """The likeliest words behind a disguised one (lower-case): the path of least cost through the whole lattice.
+
+    A state is the last two classes and the character taken last; a step takes or drops a character, or
+    ends a word at a separator. There are at most N_CLASS squared states for each character of the word's alphabet.
+    """
     log = model.log
     # (class before, last class, character before) -> cost, letters as (letters before, last); chains, so that long words take linear time
-    beam: dict[tuple, tuple] = {(0, 0, ""): (0.0, None)}
+    states: dict[tuple, tuple] = {(0, 0, ""): (0.0, None)}
     for ch in word:
         after: dict[tuple, tuple] = {}
 
@@ -73,9 +85,8 @@ def restore(word: str, model: CharModel) -> str:
             if key not in after or cost < after[key][0]:  # noqa: B023
                 after[key] = (cost, letters)  # noqa: B023
 
-        options = [(ch, 0.0)] if ch.isalpha() else []
-        options += [(c, COST_LOOK) for c in LOOK_ALIKES.get(ch, "")]
-        for (a, b, before), (cost, letters) in beam.items():
+        options = steps(ch)
+        for (a, b, before), (cost, letters) in states.items():
             for c, extra in options:
                 k = ord(c) - 96 if "a" <= c <= "z" else 27
                 offer((b, k, ch), cost + extra - log[a, b, k], (letters, c))
@@ -85,8 +96,8 @@ def restore(word: str, model: CharModel) -> str:
                     offer((b, 0, ch), cost - log[a, b, 0], (letters, " "))
             if letters and ch == before:
                 offer((a, b, before), cost + COST_REPEAT, letters)
-        beam = dict(sorted(after.items(), key=lambda x: x[1][0])[:64]) or beam
-    _, letters = min(((cost - (log[a, b, 0] if b else 0.0), letters) for (a, b, _), (cost, letters) in beam.items()), key=lambda x: x[0])
+        states = after
+    _, letters = min(((cost - (log[a, b, 0] if b else 0.0), letters) for (a, b, _), (cost, letters) in states.items()), key=lambda x: x[0])
     out = []
     while letters:
         letters, c = letters
@@ -111,55 +122,64 @@ def suspects(low: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, i
     word = word[(word >= 0) & (size[word] >= 3)] if len(word) else word
     for w in word.tolist():
         yield int(np.searchsorted(at, w, side="right")) - 1, int(starts[w]), int(ends[w])
-    single = (size == 1) & (letter | sign)[starts] if len(starts) else np.zeros(0, bool)  # letters that stand apart, four or more
+    named = np.concatenate(([0], np.cumsum(letter | _DIGIT[low])))
+    core = named[ends] - named[starts]
+    plain = np.concatenate(([0], np.cumsum(_MARK[low])))
+    # Letters that stand apart: one letter or digit, or a sign, with punctuation beside it at most.
+    single = (size == 1) & (letter | sign)[starts] | (size <= 3) & (core == 1) & (plain[ends] - plain[starts] == size - 1) if len(starts) else np.zeros(0, bool)
     edge = np.diff(np.concatenate(([0], single.astype(np.int8), [0])))
     for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
         for t in range(int(np.searchsorted(at, a, side="right")) - 1, int(np.searchsorted(at, b - 1, side="right"))):
             x, y = max(a, int(at[t])), min(b, int(at[t + 1]))
-            if y - x >= 4:
+            if y - x >= RUN:
                 yield t, int(starts[x]), int(ends[y - 1])
 
 
-_memo: dict[bytes, tuple[bytes, bytes]] = {}
 _SIGNS = re.escape("@$!|+(<*")
 
 
-def _restored(data: bytes, model: CharModel) -> tuple[bytes, bytes]:
-    """The restored word or words, and the reading whose signs at the end are letters too, if there are any."""
-    if data in _memo:
-        return _memo[data]
-    text = data.decode("utf-8", "replace")
-    before, core, signs, after = re.fullmatch(rf"([^\w{_SIGNS}]*)(.*?)([{_SIGNS}]*)([^\w{_SIGNS}]*)", text, re.DOTALL).groups()
-    plain = restore(core, model) if core else ""
-    # Signs at the end may be letters or punctuation: both readings.
-    found = (before + plain + signs + after).encode(), restore(core + signs, model).encode() if signs else b""
-    if len(data) <= 200:
-        if len(_memo) > 50_000:
-            _memo.clear()
-        _memo[data] = found
-    return found
+class Restorer:
+    """Restores under one model, with a memo of short words; a task has its own."""
+
+    def __init__(self, model: CharModel):
+        self.model, self.memo = model, {}
+
+    def __call__(self, data: bytes) -> tuple[bytes, bytes]:
+        """The restored word or words, and the reading whose signs at the end are letters too, if there are any."""
+        if data in self.memo:
+            return self.memo[data]
+        text = data.decode("utf-8", "replace")
+        before, core, signs, after = re.fullmatch(rf"([^\w{_SIGNS}]*)(.*?)([{_SIGNS}]*)([^\w{_SIGNS}]*)", text, re.DOTALL).groups()
+        plain = restore(core, self.model) if core else ""
+        # Signs at the end may be letters or punctuation: both readings.
+        found = (before + plain + signs + after).encode(), restore(core + signs, self.model).encode() if signs else b""
+        if len(data) <= 200:
+            if len(self.memo) > 50_000:
+                self.memo.clear()
+            self.memo[data] = found
+        return found
 
 
 def restore_texts(texts: list[str], model: CharModel) -> list[str]:
     """Whole texts with their disguised words restored, in lower case where they were."""
-    out = []
+    out, restored = [], Restorer(model)
     for text in texts:
         data = (text or "").encode()
         low = LOWER[np.frombuffer(data, np.uint8)]
         parts, last = [], 0
         for _, a, b in sorted(suspects(low, np.array([0, len(low)]))):
             if a >= last:
-                parts += [data[last:a], _restored(low[a:b].tobytes(), model)[0]]
+                parts += [data[last:a], restored(low[a:b].tobytes())[0]]
                 last = b
         out.append(b"".join([*parts, data[last:]]).decode("utf-8", "replace"))
     return out
 
 
-def forms(buf: np.ndarray, offsets: np.ndarray, model: CharModel, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forms(buf: np.ndarray, offsets: np.ndarray, restored: Restorer, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, form) hashes of all words, restored words and their beginnings; only those in ``known`` if given."""
     low = LOWER[buf]
     own = [(low, offsets, None)]
-    found = [(t, w) for t, a, b in suspects(low, offsets) for w in _restored(low[a:b].tobytes(), model) if w]
+    found = [(t, w) for t, a, b in suspects(low, offsets) for w in restored(low[a:b].tobytes()) if w]
     if found:
         data = b"".join(w for _, w in found)
         own.append((LOWER[np.frombuffer(data, np.uint8)], np.concatenate(([0], np.cumsum([len(w) for _, w in found]))), np.array([t for t, _ in found])))
@@ -202,7 +222,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def char_model(docs: DataFrame) -> CharModel:
     """The character model of all texts: each task counts its own, at most 28**3 sums reach the driver."""
     small_batches(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(Task(_trigrams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(N_CLASS**3, np.int64)
     for code, n in rows:
         counts[code] = n
@@ -218,10 +238,10 @@ class Toxicity:
     weight: np.ndarray
     curve: tuple[float, float, float]
 
-    def evidence(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def evidence(self, buf: np.ndarray, offsets: np.ndarray, restored: Restorer) -> np.ndarray:
         """Largest weight and log number of distinct known forms of each text."""
         out = np.zeros((len(offsets) - 1, 2))
-        text, h = forms(buf, offsets, self.chars, self.known)
+        text, h = forms(buf, offsets, restored, self.known)
         at = np.searchsorted(self.known, h)
         pair = np.unique(text * max(1, len(self.known)) + at)
         text, at = pair // max(1, len(self.known)), pair % max(1, len(self.known))
@@ -235,28 +255,39 @@ class Toxicity:
 
 
 def _count(batches: Iterator[pa.RecordBatch], chars: CharModel, known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """In how many texts of a task each form is, by label and half: code = 2 * half + label."""
+    """In how many texts each form is, by label and half: code = 2 * half + label. A form may come in several rows."""
     gathered: list[list[np.ndarray]] = [[], [], [], []]
+    restored, held = Restorer(chars), 0
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        for c, parts in enumerate(gathered):
+            h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U64), return_counts=True)
+            for k in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_pydict({"form": h[k : k + 100_000].view(np.int64), "code": pa.array([c] * len(h[k : k + 100_000]), pa.int32()), "n": n[k : k + 100_000]})
+            parts.clear()
+
     for batch in batches:
         code = batch.column(1).to_numpy()
         for i, j, buf, offsets in blocks(batch):
-            text, h = forms(buf, offsets, chars, known)
+            text, h = forms(buf, offsets, restored, known)
             order = np.lexsort((h, text))
             text, h = text[order], h[order]
             new = np.concatenate(([True], (np.diff(text) != 0) | (h[1:] != h[:-1])))[: len(h)]
             for c in range(4):
                 gathered[c].append(h[new & (code[i:j][text] == c)])
-    for c, parts in enumerate(gathered):
-        h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U64), return_counts=True)
-        for k in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_pydict({"form": h[k : k + 100_000].view(np.int64), "code": pa.array([c] * len(h[k : k + 100_000]), pa.int32()), "n": n[k : k + 100_000]})
+            held += int(new.sum())
+            if held >= COUNTED:
+                yield from counts()
+                held = 0
+    yield from counts()
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], models: list[Toxicity]) -> Iterator[pa.RecordBatch]:
+    restored = Restorer(models[0].chars)
     for batch in batches:
         for i, j, buf, offsets in blocks(batch):
             code = batch.column(1).to_numpy()[i:j]
-            both = np.where((code >= 2)[:, None], models[0].evidence(buf, offsets), models[1].evidence(buf, offsets))
+            both = np.where((code >= 2)[:, None], models[0].evidence(buf, offsets, restored), models[1].evidence(buf, offsets, restored))
             yield pa.RecordBatch.from_pydict({"y": pa.array(code % 2, pa.int32()), "a": both[:, 0], "b": both[:, 1]})
 
 
@@ -299,11 +330,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, support: i
     code = (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)) * 2 + F.col("y")).cast("int").alias("code")
     sample = table(labelled(docs, labels, "toxic", max_rows).select("text", code), "toxic-sample")
     spark_counts = "form long, code int, n long"
-    pos = sample.where("code % 2 = 1").mapInArrow(partial(_count, chars=chars, known=None), spark_counts)
+    pos = sample.where("code % 2 = 1").mapInArrow(Task(_count, chars=chars, known=None), spark_counts)
     pos = pos.groupBy("form").agg(*(F.sum(F.when(F.col("code") == c, F.col("n")).otherwise(0)).alias(f"p{c}") for c in (1, 3))).where(f"p1 + p3 >= {support}").toPandas()
     pos = pos.assign(form=pos["form"].to_numpy().view(U64) if len(pos) else np.zeros(0, U64)).sort_values("form")
     known = pos["form"].to_numpy(U64)
-    neg = sample.where("code % 2 = 0").mapInArrow(partial(_count, chars=chars, known=known), spark_counts).groupBy("form", "code").agg(F.sum("n").alias("n")).toPandas()
+    neg = sample.where("code % 2 = 0").mapInArrow(Task(_count, chars=chars, known=known), spark_counts).groupBy("form", "code").agg(F.sum("n").alias("n")).toPandas()
     n = {c: pos[f"p{c}"].to_numpy(float) for c in (1, 3)} | {c: np.zeros(len(known)) for c in (0, 2)}
     for c in (0, 2):
         own = neg[neg["code"] == c]
@@ -318,27 +349,48 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, support: i
         return Toxicity(chars, known[keep], w[keep], (0.0, 0.0, 0.0))
 
     halves = [weighed((0, 1), support / 2), weighed((2, 3), support / 2)]
-    rows = sample.mapInArrow(partial(_evidence, models=halves), "y int, a double, b double").toPandas().sort_values(["y", "a", "b"])
+    rows = sample.mapInArrow(Task(_evidence, models=halves), "y int, a double, b double").toPandas().sort_values(["y", "a", "b"])
     drop_table(sample)
     whole = weighed((0, 1, 2, 3), support)
     return Toxicity(chars, whole.known, whole.weight, fit_curve(rows[["a", "b"]].to_numpy(float), rows["y"].to_numpy(float)))
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], shared, threshold: float, clean: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of (text, more) with score and prediction, or those below the threshold as they are."""
     model: Toxicity = shared.value
+    restored = Restorer(model.chars)
     for batch in batches:
         for i, j, buf, offsets in blocks(batch):
-            score = model.score(model.evidence(buf, offsets))
+            score = model.score(model.evidence(buf, offsets, restored))
             own = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*own.schema.names, "_score", "_predicted"])
+            if clean:
+                yield own.filter(pa.array(score < threshold))
+            else:
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*own.schema.names, "score", "predicted"])
 
 
-def scored(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, with _score and _predicted. Null and empty texts score as texts without evidence."""
+def _run(docs: DataFrame, model: Toxicity, threshold: float, clean: bool) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under names of our own, and those names by the columns' names."""
     spark = docs.sparkSession
     small_batches(spark)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(partial(_score, shared=spark.sparkContext.broadcast(model), threshold=threshold), f"{kinds}, _score double, _predicted int")
+    more = [f for f in docs.schema.fields if f.name != "text"]
+    names = {"text": "text"} | {f.name: f"_{k}" for k, f in enumerate(more)}
+    own = docs.select("text", *(F.col(f"`{f.name}`").alias(names[f.name]) for f in more))
+    kinds = "text string" + "".join(f", {names[f.name]} {f.dataType.simpleString()}" for f in more) + ("" if clean else ", score double, predicted int")
+    return own.mapInArrow(Task(_score, shared=spark.sparkContext.broadcast(model), threshold=threshold, clean=clean), kinds), names
+
+
+def scored(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, with _score and _predicted; own columns of these names give way. Null and empty texts score as texts without evidence."""
+    found, names = _run(docs, model, threshold, False)
+    kept = [n for n in docs.columns if n not in ("_score", "_predicted")]
+    return found.select(*(F.col(names[n]).alias(n) for n in kept), F.col("score").alias("_score"), F.col("predicted").alias("_predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below the threshold; null and empty texts are scored as texts without evidence."""
+    found, names = _run(docs, model, threshold, True)
+    return found.select(*(F.col(names[n]).alias(n) for n in docs.columns))
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:

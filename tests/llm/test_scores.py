@@ -49,11 +49,90 @@ def test_forms_of_disguised_words(text):
     model = char_model("you met a nitwit and a scoundrel on the plain, plain nitwit, a plain scoundrel, you nitwit " * 20)
     data = np.frombuffer(text.encode(), np.uint8)
     known = {w: toxicity.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in ("nitwit", "scoundrel")}
-    _, got = toxicity.forms(data, np.array([0, len(data)]), model)
+    _, got = toxicity.forms(data, np.array([0, len(data)]), toxicity.Restorer(model))
     want = "scoundrel" if "d r e l" in text else "nitwit"
     assert known[want] in got, toxicity.restore_texts([text], model)
 
 
+def least_cost(word, model):
+    """Cost of the best path, by trying every one."""
+    def go(rest, a, b, before, started):
+        if not rest:
+            return -model.log[a, b, 0] if b else 0.0
+        ch, found = rest[0], []
+        options = toxicity.steps(ch)
+        for c, extra in options:
+            k = ord(c) - 96 if "a" <= c <= "z" else 27
+            found.append(extra - model.log[a, b, k] + go(rest[1:], b, k, ch, True))
+        if ch in toxicity.SEPARATORS or not options:
+            found.append(toxicity.COST_DROP + go(rest[1:], a, b, before, started))
+            if started and b:
+                found.append(-model.log[a, b, 0] + go(rest[1:], b, 0, ch, True))
+        if started and ch == before:
+            found.append(toxicity.COST_REPEAT + go(rest[1:], a, b, before, started))
+        return min(found)
+
+    return go(word, 0, 0, "", False)
+
+
+def cost_of(word, meant, model):
+    """Least cost of the paths that give the restored word."""
+    def go(rest, want, a, b, before, started):
+        if not rest:
+            return (-model.log[a, b, 0] if b else 0.0) if not want.strip(" ") else float("inf")
+        ch, found = rest[0], [float("inf")]
+        options = toxicity.steps(ch)
+        for c, extra in options:
+            if want[:1] == c:
+                k = ord(c) - 96 if "a" <= c <= "z" else 27
+                found.append(extra - model.log[a, b, k] + go(rest[1:], want[1:], b, k, ch, True))
+        if ch in toxicity.SEPARATORS or not options:
+            found.append(toxicity.COST_DROP + go(rest[1:], want, a, b, before, started))
+            if started and b and want[:1] in (" ", ""):
+                found.append(-model.log[a, b, 0] + go(rest[1:], want[1:], b, 0, ch, True))
+        if started and ch == before:
+            found.append(toxicity.COST_REPEAT + go(rest[1:], want, a, b, before, started))
+        return min(found)
+
+    return go(word, meant, 0, 0, "", False)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_restoring_is_the_best_of_all_paths(seed):
+    model, rng = char_model("a nitwit and a scoundrel met a plain nitwit on the plain with a scoundrel " * 20), random.Random(seed)
+    for _ in range(40):
+        word = "".join(rng.choice("nit1w.*3 -s$aa") for _ in range(rng.randrange(1, 8)))
+        assert cost_of(word, toxicity.restore(word, model), model) == pytest.approx(least_cost(word, model)), word
+
+
+def test_two_models_in_one_worker(spark):
+    first, second = char_model("nitwit " * 50), char_model("nltwlt " * 50)
+    assert [toxicity.restore_texts(["n1tw1t"], m) for m in (first, second, first)] == [["nitwit"], ["nltwlt"], ["nitwit"]]
+
+
+def test_spaced_sentences_and_long_words():
+    model = char_model("you are a nitwit and a scoundrel met a plain nitwit on the plain with a scoundrel " * 20)
+    assert "nitwit" in toxicity.restore_texts(["y o u  n i t w i t, all"], model)[0]
+    assert "nitwit" in toxicity.restore_texts(["(n i t w i t)"], model)[0]
+    assert toxicity.restore_texts(["n.i.t.w.i.t." + "i" * 10_000], model)[0].startswith("nitwit")
+
+
+def test_scores_stand_whatever_the_columns_are_called(spark, odd):
+    docs, labels = corpus(spark)
+    model = toxicity.train(docs, labels)
+    own = odd.withColumn("_score", odd.n).withColumn("_predicted", odd.n).withColumn("_0", odd.n)
+    assert toxicity.keep_clean(own, model).columns == own.columns
+    assert toxicity.scored(own, model).columns == [c for c in own.columns if c not in ("_score", "_predicted")] + ["_score", "_predicted"]
+    assert toxicity.scored(own, model).count() == len(ODD)
+
+
+def test_labels_of_repeated_ids_are_bounded(spark):
+    docs = spark.createDataFrame([(k % 20, f"text {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, toxic int")
+    got = quality.labelled(docs, labels, "toxic", 10).collect()
+    assert len(got) == 10 == len({r.doc_id for r in got})
+
+
 def test_toxicity_learns_and_sees_through_disguise(spark, odd, none):
     docs, labels = corpus(spark)
     model = toxicity.train(docs, labels)

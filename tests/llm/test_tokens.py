@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lattice.llm import idfiles, packing
+from lattice.llm import idfiles, packing, tokens
 from lattice.llm.queries import byte_vocabulary, word_vocabulary
 from lattice.llm.tokens import Encoder
 from tests.llm.conftest import ODD
@@ -119,17 +119,37 @@ def test_file_of_documents(width):
 
 
 def test_files_round_trip(spark, odd, none, tmp_path, encoder):
-    docs = odd.where("doc_id is not null")
-    files = idfiles.write_ids(docs, encoder.vocabulary, str(tmp_path / "ids"), parts=3, block_ids=100)
-    got = idfiles.read_digest(files).collect()
-    texts = sorted(((d, t or "") for d, t in ODD if d is not None), key=lambda x: x[0])
-    assert sorted(r.doc_id for r in got) == [d for d, _ in texts]
+    files = idfiles.write_ids(odd, encoder.vocabulary, str(tmp_path / "ids"), parts=3, block_ids=100)
+    got = sorted(idfiles.read_digest(files).collect(), key=lambda r: r.start)
+    texts = sorted(((d, t or "") for d, t in ODD), key=lambda x: (x[0] is None, x[0] or 0))
+    assert [r.doc_id for r in got] == [d for d, _ in texts]  # the row without an id is last
     start = 0
-    for (d, t), r in zip(texts, sorted(got, key=lambda r: r.start), strict=True):
+    for (d, t), r in zip(texts, got, strict=True):
         ids = np.array(plain(encoder, t), "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert {r.doc_id: r.ids for r in idfiles.read_ids(spark, files).collect()}[-9] == plain(encoder, "x")
     assert idfiles.read_digest(idfiles.write_ids(none, encoder.vocabulary)).collect() == []
-    with pytest.raises(Exception, match="doc_id"):
-        idfiles.write_ids(odd, encoder.vocabulary)
+
+
+def thue_morse(n):
+    """A word over two letters whose polynomial sums meet those of its complement, and that complement."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_texts_made_to_collide_have_their_own_ids(encoder, n):
+    for w in thue_morse(n):
+        data = np.frombuffer(w.encode(), np.uint8)
+        assert encoder(data, np.array([0, n]))[0].tolist() == plain(encoder, w)
+
+
+def test_a_memo_whose_hashes_all_meet_is_still_exact(encoder, monkeypatch):
+    monkeypatch.setattr(tokens, "span_hashes", lambda buf, starts, ends: np.ones(len(starts), np.uint64))
+    own = tokens.Encoder(encoder.vocabulary)
+    for text in ("some words here, others there", "words some, there", "x " * 40 + "long" * 30):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert own(data, np.array([0, len(data)]))[0].tolist() == plain(encoder, text)
