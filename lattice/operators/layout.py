@@ -7,6 +7,10 @@ coordinates reach the scan, so tiles written with ``partitionBy`` are pruned.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +45,47 @@ def _edges(meta: ArrayMeta, axis: int, at) -> F.Column:
     return F.least(F.lit(t).cast("long"), F.lit(n).cast("long") - at * t)
 
 
+def _fill(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (*keys, length, at, v), a tile's one after another, to (*keys, data): one dense array at a time, each cell written once."""
+    name, out = None, np.zeros(0)
+
+    def tile() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int64()) for k in name), pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out))], names=[*keys, "data"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in range(len(keys))])
+        length, at, v = (batch.column(k).to_numpy() for k in range(len(keys), len(keys) + 3))
+        bound = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bound[:-1], bound[1:], strict=True):
+            now = tuple(key[:, a].tolist())
+            if now != name:
+                if name is not None:
+                    yield tile()
+                name, out = now, np.zeros(int(length[a]))
+            there = at[a:b] >= 0
+            out[at[a:b][there]] = v[a:b][there]
+    if name is not None:
+        yield tile()
+
+
+def _filled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Tiles of rows (*keys, length, at, v): rows of a tile meet in one task, which streams through them."""
+    schema = ", ".join(f"{k} long" for k in keys) + ", data array<double>"
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "length", "at", "v")
+    return dealt.mapInArrow(lambda batches: _fill(batches, keys), schema)
+
+
 def to_tiles(cells: DataFrame, meta: ArrayMeta) -> DataFrame:
-    """Tiles of a matrix; every tile is there and full, absent cells are 0."""
+    """Tiles of a matrix; every tile is there and full, absent cells are 0. Of several cells at one place any one stands. A task holds one tile."""
     th, tw = meta.tile
     ti, tj = F.expr(f"i div {th}"), F.expr(f"j div {tw}")
-    width = _edges(meta, 1, F.col("tj"))
-    own = cells.where(F.col("v") != 0).select(ti.alias("ti"), tj.alias("tj"), (F.col("i") % th).alias("r"), (F.col("j") % tw).alias("c"), F.col("v"))
-    own = own.select("ti", "tj", (F.col("r") * width + F.col("c")).alias("at"), "v")
-    filled = own.groupBy("ti", "tj").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("cells"))
-    grid = cells.sparkSession.range(meta.tiles[0] * meta.tiles[1]).select(F.expr(f"id div {meta.tiles[1]}").alias("ti"), (F.col("id") % meta.tiles[1]).alias("tj"))
     length = _edges(meta, 0, F.col("ti")) * _edges(meta, 1, F.col("tj"))
-    none = F.create_map().cast("map<bigint,double>")
-    data = F.transform(F.sequence(F.lit(0).cast("long"), length - 1), lambda k: F.coalesce(F.try_element_at(F.coalesce("cells", none), k), F.lit(0.0)))
-    return grid.join(filled, ["ti", "tj"], "left").select("ti", "tj", data.alias("data"))
+    own = cells.where(F.col("v") != 0).select(ti.alias("ti"), tj.alias("tj"), (F.col("i") % th).alias("r"), (F.col("j") % tw).alias("c"), F.col("v").cast("double").alias("v"))
+    own = own.select("ti", "tj", (F.col("r") * _edges(meta, 1, F.col("tj")) + F.col("c")).alias("at"), "v")
+    grid = cells.sparkSession.range(meta.tiles[0] * meta.tiles[1]).select(F.expr(f"id div {meta.tiles[1]}").alias("ti"), (F.col("id") % meta.tiles[1]).alias("tj"), F.lit(-1).cast("long").alias("at"), F.lit(0.0).alias("v"))
+    return _filled(own.unionAll(grid).withColumn("length", length), ["ti", "tj"])
 
 
 def to_cells(tiles: DataFrame, meta: ArrayMeta) -> DataFrame:
@@ -68,9 +100,8 @@ def to_tiles_3d(cells: DataFrame, block: int) -> DataFrame:
     """Cubic tiles (tn, tm, tk, data) of a tensor whose sides ``block`` divides; ``data`` has k fastest; tiles without cells are absent."""
     keys = [F.expr(f"{c} div {block}").alias(f"t{c}") for c in "nmk"]
     at = ((F.col("n") % block) * block + F.col("m") % block) * block + F.col("k") % block
-    filled = cells.where("v <> 0").select(*keys, at.alias("at"), "v").groupBy("tn", "tm", "tk").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("cells"))
-    data = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(block**3 - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(0.0)))
-    return filled.select("tn", "tm", "tk", data.alias("data"))
+    own = cells.where("v <> 0").select(*keys, at.alias("at"), F.col("v").cast("double").alias("v")).withColumn("length", F.lit(block**3).cast("long"))
+    return _filled(own, ["tn", "tm", "tk"])
 
 
 def to_cells_3d(tiles: DataFrame, block: int) -> DataFrame:

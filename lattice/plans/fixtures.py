@@ -67,16 +67,8 @@ def matrix(spark: SparkSession) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed weighted graph of 1000 vertices."""
-    return _edges(_read(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
-
-
-def edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from every line of every order."""
-    return _edges(_read(spark, sf_dir, "lineitem"))
-
-
-def _edges(lines: DataFrame) -> DataFrame:
+    """Directed weighted graph of 1000 vertices, from every line of every order."""
+    lines = _read(spark, sf_dir, "lineitem")
     return lines.groupBy((F.col("l_orderkey") % VERTICES).alias("src"), (F.col("l_partkey") % VERTICES).alias("dst")).agg(F.min("l_quantity").cast("long").alias("w"))
 
 
@@ -110,7 +102,7 @@ SQL = {
     "cube": f"SELECT l_orderkey % {CUBE} AS n, l_partkey % {CUBE} AS m, l_suppkey % {CUBE} AS k, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2, 3",
     "vec": f"SELECT r AS k, (r * 7 % 11 - 5)::DOUBLE AS a FROM range({CUBE}) t(r)",
     "mat": f"SELECT a.r AS p, b.r AS k, ((a.r * 3 + b.r * 7) % 11 - 5)::DOUBLE AS a FROM range({CUBE}) a(r), range({CUBE}) b(r)",
-    "edges": f"SELECT l_orderkey % {VERTICES} AS src, l_partkey % {VERTICES} AS dst, min(l_quantity)::BIGINT AS w FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2",
+    "edges": f"SELECT l_orderkey % {VERTICES} AS src, l_partkey % {VERTICES} AS dst, min(l_quantity)::BIGINT AS w FROM lineitem GROUP BY 1, 2",
     "taps": "SELECT t, ((t * 7 + 3) % 16)::DOUBLE AS tap FROM range(17) x(t)",
     "intervals": "SELECT event_type AS stage, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq, epoch_us(ts) AS start_us, epoch_us(ts) + floor(value * 1000)::BIGINT AS end_us FROM events",
     "runs": "SELECT event_type AS app, ['baseline', 'software', 'hardware'][user_id % 3 + 1] AS config, value AS seconds FROM events",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +10,8 @@ from lattice.operators import cluster, generate, graph, layout, linalg, stencil,
 from lattice.plans import fixtures as fx
 from lattice.plans.meta import ArrayMeta
 
-Edges = Callable[[SparkSession, str], DataFrame]
-
-FIRST = ArrayMeta((64, 64), (16, 16))  # the first 64 points as a square matrix
 GRAM_ROWS = 256  # points in a tile of the product over all points
 HEAT = stencil.HeatConstants(0.125, 1.0, 1.0, 8.0)  # powers of two, so sums are exact in any order
-ROUNDS = 5
 
 
 def tile_partition(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +44,8 @@ def tile_roundtrip_3d(spark: SparkSession, d: str) -> DataFrame:
     return layout.to_cells_3d(layout.to_tiles_3d(fx.cube(spark, d), fx.BLOCK), fx.BLOCK).where("v <> 0")
 
 
-def element_filters(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
-    return edges(spark, d).where("w <> 0 and w > 0 and src <> dst").select("src", "dst", "w")
+def element_filters(spark: SparkSession, d: str) -> DataFrame:
+    return fx.edges(spark, d).where("w <> 0 and w > 0 and src <> dst").select("src", "dst", "w")
 
 
 def scalar_clamps(spark: SparkSession, d: str) -> DataFrame:
@@ -106,18 +99,22 @@ def gemm_ragged(spark: SparkSession, d: str) -> DataFrame:
     return linalg.matmul(a, a, ragged, ragged)
 
 
-def _first(spark: SparkSession, d: str) -> DataFrame:
-    return fx.point_cells(spark, d).where("i < 64")
+def _typed(spark: SparkSession, d: str, in_type: str, acc_type: str, out_type: str) -> DataFrame:
+    """Product of the grid's remainders by 16, whole numbers whose sums every format holds."""
+    a = fx.grid(spark, d).withColumn("v", F.col("v") % 16)
+    return linalg.matmul(a, a, fx.GRID, fx.GRID, in_type=in_type, acc_type=acc_type, out_type=out_type)
 
 
-def gemm_f32(spark: SparkSession, d: str) -> DataFrame:
-    a = _first(spark, d)
-    return linalg.matmul(a, a, FIRST, FIRST, in_type="f32", acc_type="f64").select("i", "j", rounded(F.col("v")).alias("v"))
+def gemm_f16_f32(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d, "f16", "f32", "f32")
 
 
-def gemm_f16(spark: SparkSession, d: str) -> DataFrame:
-    a = _first(spark, d)
-    return linalg.matmul(a, a, FIRST, FIRST, in_type="f16", acc_type="f64").select("i", "j", rounded(F.col("v")).alias("v"))
+def gemm_f32_f32(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d, "f32", "f32", "f32")
+
+
+def gemm_f64_f32(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d, "f64", "f64", "f32")
 
 
 def _gram(spark: SparkSession, d: str, in_type: str) -> DataFrame:
@@ -129,11 +126,11 @@ def _gram(spark: SparkSession, d: str, in_type: str) -> DataFrame:
     return linalg.matmul(layout.transpose(p), p, across, rows, in_type=in_type, acc_type="f64").select("i", "j", rounded(F.col("v")).alias("v"))
 
 
-def gemm_f32_whole(spark: SparkSession, d: str) -> DataFrame:
+def gemm_f32(spark: SparkSession, d: str) -> DataFrame:
     return _gram(spark, d, "f32")
 
 
-def gemm_f16_whole(spark: SparkSession, d: str) -> DataFrame:
+def gemm_f16(spark: SparkSession, d: str) -> DataFrame:
     return _gram(spark, d, "f16")
 
 
@@ -142,23 +139,11 @@ def squared_norms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neg2_dot(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.points(spark, d)
-    return linalg.scaled_gram(p.where("id < 32"), p).select("q", "ref", rounded(F.col("v")).alias("v"))
-
-
-def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.points(spark, d)
-    return cluster.knn(p, p.where("id < 32"), 4).select("q", F.col("rk").cast("long").alias("rk"), "ref", rounded(F.col("dist")).alias("dist"))
-
-
-def neg2_dot_whole(spark: SparkSession, d: str) -> DataFrame:
-    """neg2_dot for all query rows, those whose id is divisible by QUERY_STEP."""
     p = fx.points(spark, d)
     return linalg.scaled_gram(fx.query_points(spark, d), p).select("q", "ref", rounded(F.col("v")).alias("v"))
 
 
-def knn_topk_whole(spark: SparkSession, d: str) -> DataFrame:
-    """knn_topk for all query rows, those whose id is divisible by QUERY_STEP."""
+def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     found = cluster.knn(fx.points(spark, d), fx.query_points(spark, d), 4)
     return found.select("q", F.col("rk").cast("long").alias("rk"), "ref", rounded(F.col("dist")).alias("dist"))
 
@@ -174,67 +159,60 @@ def kmeans_step(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
-    found, _, _ = cluster.fit(fx.points(spark, d), 4, threshold=-1.0, limit=ROUNDS - 1)
+    found, _, _ = cluster.fit(fx.points(spark, d), 4)
     return found.select("id", F.col("cid").cast("long").alias("cid"))
 
 
 def kmeans_delta(spark: SparkSession, d: str) -> DataFrame:
-    _, _, changes = cluster.fit(fx.points(spark, d), 4, threshold=-1.0, limit=ROUNDS - 1)
+    _, _, changes = cluster.fit(fx.points(spark, d), 4)
     return spark.createDataFrame(list(enumerate(changes)), "round long, changed long")
 
 
-def kmeans_fit_whole(spark: SparkSession, d: str) -> DataFrame:
-    """kmeans_fit to the operator's own stop."""
-    found, _, _ = cluster.fit(fx.points(spark, d), 4)
-    return found.select("id", F.col("cid").cast("long").alias("cid"))
-
-
-def kmeans_delta_whole(spark: SparkSession, d: str) -> DataFrame:
-    """kmeans_delta to the operator's own stop."""
-    _, _, changes = cluster.fit(fx.points(spark, d), 4)
-    return spark.createDataFrame(list(enumerate(changes)), "round long, changed long")
+def bfs(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bfs(fx.edges(spark, d), fx.VERTICES)
 
 
-def bfs(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
-    return graph.bfs(edges(spark, d), fx.VERTICES)
+def negative_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """Whether distances still fell in the last round: with positive weights never."""
+    return spark.createDataFrame([(graph.shortest_paths(fx.edges(spark, d), fx.VERTICES)[1],)], "negative boolean")
 
 
-def bellman_ford(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
-    return graph.shortest_paths(edges(spark, d), fx.VERTICES)[0]
+def bellman_ford(spark: SparkSession, d: str) -> DataFrame:
+    return graph.shortest_paths(fx.edges(spark, d), fx.VERTICES)[0]
 
 
-def out_degree(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
-    return graph.out_degree(edges(spark, d), fx.VERTICES)
+def out_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.out_degree(fx.edges(spark, d), fx.VERTICES)
 
 
-def pagerank(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
-    return graph.pagerank(edges(spark, d), fx.VERTICES).select("v", rounded(F.col("rank"), 10).alias("rank"))
+def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return graph.pagerank(fx.edges(spark, d), fx.VERTICES).select("v", rounded(F.col("rank"), 10).alias("rank"))
 
 
-def graph_csr(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
-    e = edges(spark, d)
+def graph_csr(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.edges(spark, d)
     return graph.csr_rows(e, fx.VERTICES)
 
 
-def graph_csr_targets(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
-    return graph.csr_targets(edges(spark, d)).select("src", F.col("place").cast("long").alias("place"), "dst")
+def graph_csr_targets(spark: SparkSession, d: str) -> DataFrame:
+    return graph.csr_targets(fx.edges(spark, d)).select("src", F.col("place").cast("long").alias("place"), "dst")
 
 
-def graph_adjlist(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
-    return graph.adjacency_lines(edges(spark, d), fx.VERTICES)
+def graph_adjlist(spark: SparkSession, d: str) -> DataFrame:
+    return graph.adjacency_lines(fx.edges(spark, d), fx.VERTICES)
 
 
-def graph_dense_row(spark: SparkSession, d: str, edges: Edges = fx.edges, rows: int = 4) -> DataFrame:
-    return graph.dense_rows(edges(spark, d), rows, fx.VERTICES)
+def graph_dense_row(spark: SparkSession, d: str) -> DataFrame:
+    return graph.dense_rows(fx.edges(spark, d), fx.VERTICES, fx.VERTICES)
 
 
-def graph_edge_check(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
-    e = edges(spark, d)
+def graph_edge_check(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.edges(spark, d)
     return graph.edge_check(graph.mirrored(e), e.count())
 
 
-def graph_differences(spark: SparkSession, d: str, edges: Edges = fx.edges) -> DataFrame:
-    e = edges(spark, d)
+def graph_differences(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.edges(spark, d)
     return graph.differences(e.where("w > 5"), e.where("w < 40"))
 
 
@@ -267,6 +245,10 @@ def heat_step_global(spark: SparkSession, d: str) -> DataFrame:
     return stencil.heat_step(fx.grid(spark, d), fx.power(spark, d), HEAT)
 
 
+def heat_two_steps(spark: SparkSession, d: str) -> DataFrame:
+    return stencil.heat(fx.grid(spark, d), fx.power(spark, d), HEAT, 2)
+
+
 def ttv(spark: SparkSession, d: str) -> DataFrame:
     return tensor.ttv(fx.cube(spark, d), fx.vector(spark), (fx.CUBE, fx.CUBE))
 
@@ -315,13 +297,7 @@ def trace_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trace_merge(spark: SparkSession, d: str) -> DataFrame:
-    own = fx.intervals(spark, d)
-    events = telemetry.merged([telemetry.trace_events(own.where("seq <= 100")), telemetry.trace_events(own.where("seq > 100 and seq <= 150"))])
-    return events.select("name", "ph", F.col("tid").cast("long").alias("tid"), "ts")
-
-
-def trace_merge_whole(spark: SparkSession, d: str) -> DataFrame:
-    """trace_merge without its bound on seq: the first 100 intervals of each stage and all others are the two traces."""
+    """The first 100 intervals of each stage and all others are the two traces."""
     own = fx.intervals(spark, d)
     events = telemetry.merged([telemetry.trace_events(own.where("seq <= 100")), telemetry.trace_events(own.where("seq > 100"))])
     return events.select("name", "ph", F.col("tid").cast("long").alias("tid"), "ts")
@@ -365,10 +341,3 @@ def gen_tensor(spark: SparkSession, d: str) -> DataFrame:
 
 def gen_graph(spark: SparkSession, d: str) -> DataFrame:
     return generate.random_graph(spark, 500)
-
-
-#: The graph queries over the edges of every line; graph_dense_row with every row of the matrix.
-GRAPH_WHOLE = {
-    f"{q.__name__}_whole": partial(q, edges=fx.edges_whole)
-    for q in (element_filters, bfs, bellman_ford, out_degree, pagerank, graph_csr, graph_csr_targets, graph_adjlist, graph_edge_check, graph_differences)
-} | {"graph_dense_row_whole": partial(graph_dense_row, edges=fx.edges_whole, rows=fx.VERTICES)}

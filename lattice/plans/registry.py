@@ -11,7 +11,7 @@ from lattice.plans.oracle import ORACLE_SQL
 
 __all__ = ["BRUTE_FORCE", "ORACLE_SQL", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: queries.GRAPH_WHOLE[name] if name in queries.GRAPH_WHOLE else getattr(queries, name) for name in ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(queries, name) for name in ORACLE_SQL}
 
 #: Queries whose number of rounds only the data tells; brute force in the tests holds them, not SQL.
-BRUTE_FORCE: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(queries, name) for name in ("kmeans_fit_whole", "kmeans_delta_whole")}
+BRUTE_FORCE: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(queries, name) for name in ("kmeans_fit", "kmeans_delta")}

@@ -160,8 +160,8 @@ def test_kmeans_empty_cluster_keeps_its_seed(spark):
 
 def test_knn_ties_and_blocks(spark):
     refs, queries = points(spark, [1, -1, 1, 2]), points(spark, [0, 2])
-    for block in (1, 1024):
-        got = {(r.q, r.rk): (r.ref, r.dist) for r in cluster.knn(refs, queries, 2, block).collect()}
+    for block_bytes in (1, 1024):
+        got = {(r.q, r.rk): (r.ref, r.dist) for r in cluster.knn(refs, queries, 2, block_bytes).collect()}
         assert got == {(0, 0): (0, 1.0), (0, 1): (1, 1.0), (1, 0): (3, 0.0), (1, 1): (0, 1.0)}
 
 
@@ -249,3 +249,48 @@ def test_trace_of_an_interval(spark):
 def test_random_graph_is_mirrored(spark):
     got = {(r.src, r.dst): r.w for r in generate.random_graph(spark, 40).collect()}
     assert all(got[b, a] is not None for a, b in got) and all(1 <= w <= 10 for w in got.values())
+
+
+def test_large_tiles_are_filled_in_one_pass(spark):
+    side = 512
+    a = spark.range(side * side).select(F.expr(f"id div {side}").alias("i"), (F.col("id") % side).alias("j"), F.col("id").cast("double").alias("v"))
+    meta = ArrayMeta((side, side), (side, side))
+    assert layout.to_tiles(a, meta).first().data == [float(x) for x in range(side * side)]
+
+
+def test_zeros_meet_infinities_alike(spark):
+    a, b = np.array([[np.inf, 1.0], [0.0, np.nan]]), np.array([[0.0, 2.0], [1.0, 0.0]])
+    with np.errstate(invalid="ignore"):
+        want = a @ b
+    meta = ArrayMeta((2, 2), (2, 2))
+    for strategy in ("cells", "tiles", "split_k"):
+        got = array(linalg.matmul(cells(spark, a), cells(spark, b), meta, meta, strategy=strategy), (2, 2))
+        assert np.array_equal(got, want, equal_nan=True), strategy
+
+
+def test_sums_in_single_precision(spark):
+    a, b = np.full((1, 4), 1 / 3), np.full((4, 1), 1e4)
+    got = array(linalg.matmul(cells(spark, a), cells(spark, b), ArrayMeta((1, 4), (1, 2)), ArrayMeta((4, 1), (2, 1)), in_type="f32", acc_type="f32", out_type="f32"), (1, 1))
+    x, y = a.astype(np.float32), b.astype(np.float32)
+    assert got[0, 0] == float((x[:, :2] @ y[:2] + x[:, 2:] @ y[2:])[0, 0])
+    with pytest.raises(ValueError):
+        linalg.matmul(cells(spark, a), cells(spark, b), ArrayMeta((1, 4), (1, 2)), ArrayMeta((4, 1), (2, 1)), acc_type="f32", strategy="cells")
+
+
+def test_clusters_and_neighbours_of_wide_points(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 20_000))
+    p = points(spark, x)
+    found, centroids, _ = cluster.fit(p, 3)
+    now = x[:3]
+    for _ in range(500):
+        cid = ((x[:, None] - now[None]) ** 2).sum(2).argmin(1)
+        after = np.array([x[cid == c].mean(0) for c in range(3)])
+        if np.allclose(after, now):
+            break
+        now = after
+    assert [r.cid for r in found.orderBy("id").collect()] == cid.tolist() and np.allclose(centroids, now)
+    near = cluster.knn(p, p.where("id < 5"), 3, 400_000)
+    for q in range(5):
+        d = ((x - x[q]) ** 2).sum(1)
+        assert [r.ref for r in near.where(f"q = {q}").orderBy("rk").collect()] == np.argsort(d)[:3].tolist()
