@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.shared import Task, small_batches
+from lattice.llm.shared import LOWER_SQL, Task, small_batches
 from lattice.llm.text import ALNUM, LOWER, U64, blocks, spans, words, words_of
 
 SHARD = 1 << 19  # indexed words of a shard; a longer text is a shard of its own
@@ -325,3 +325,19 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_chars: i
     places = {f.name: k for k, f in enumerate(more)}
     out = cut.select(*(F.col("text") if n == "text" else F.col(f"_{places[n]}").alias(n) for n in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def oracle_sql(width: int = 8) -> str:
+    """digest() of find() in DuckDB: windows of items joined with those of documents; for tables whose doc_id is a key."""
+    words_ = f"regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH docs AS MATERIALIZED (SELECT doc_id, {words_} AS w FROM documents),
+        items AS (SELECT item_id, {words_} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        wanted AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), {width}) AS n, array_to_string(w[k : k + least(len(w), {width}) - 1], ' ') AS run
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS k FROM items WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM wanted),
+        runs AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS run FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, sizes WHERE len(w) >= n)),
+        found AS MATERIALIZED (SELECT r.doc_id, r.k, r.n, x.item_id FROM runs r JOIN wanted x ON x.n = r.n AND x.run = r.run),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY 1),
+        of AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY 1)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(o.n_items, 0) AS n_items, sha256(coalesce(o.names, '')) AS items_sha256, coalesce(o.n_items, 0) >= 2 AS contaminated
+        FROM docs d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN of o ON o.doc_id = d.doc_id"""

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattice.llm.shared import Task, components, drop_table, small_batches, table
+from lattice.llm.shared import LOWER_SQL, Task, components, components_sql, drop_table, small_batches, table
 from lattice.llm.text import GRAPH, U64, blocks, mix, words
 
 WIDTH = 5
@@ -486,7 +486,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     found = table(components(links).select(F.col("node").alias("set_id"), "component"), "classes")
     tried = star.unionAll(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     some = lists.where(F.pmod(F.xxhash64("key"), F.lit(EARLY)) == 0)
-    for part in (some, some, lists):  # what some of the lists join need not be compared again in every other
+    for part in (some, lists):  # what some of the lists join need not be compared again in every other
         likely = run.tiled(part, found)
         pairs = table(likely.select(F.col("f").alias("a"), F.col("other").alias("b")).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionAll(pairs).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -518,3 +518,18 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     out = docs.join(F.broadcast(ids) if fits(ids, counts["d"]) else ids, docs["doc_id"].cast("long") == ids["_kept"], "left_semi")
     out = out if counts["n"] == counts["d"] else out.dropDuplicates(["doc_id"])
     return out.unionAll(docs.where(docs["doc_id"].isNull()))
+
+
+def oracle_sql(width: int = WIDTH, percent: int = PERCENT) -> str:
+    """The same classes in DuckDB, by all pairs that share a shingle; for tables whose doc_id is a key."""
+    return f"""WITH RECURSIVE cut AS MATERIALIZED (SELECT doc_id AS id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sets AS MATERIALIZED (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda k: array_to_string(w[k : k + {width - 1}], ' '))) END AS s FROM cut),
+        kinds AS MATERIALIZED (SELECT s, min(id) AS id, len(s) AS n FROM (SELECT id, list_sort(s) AS s FROM sets) WHERE len(s) > 0 GROUP BY s),
+        posts AS MATERIALIZED (SELECT id, n, unnest(s) AS h FROM kinds),
+        pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM posts a JOIN posts b ON a.h = b.h AND a.id < b.id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+            GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+        same AS (SELECT k.id AS a, x.id AS b FROM (SELECT id, list_sort(s) AS s FROM sets) x JOIN kinds k ON k.s = x.s AND k.id <> x.id),
+        links AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT a, b FROM same),
+        {components_sql("cut", "links")}
+        SELECT x.id AS doc_id, len(x.s) AS n_shingles, t.component AS component_id FROM sets x JOIN top t ON t.node = x.id"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lattice.plans.storage import drop_table, fresh_path, ship, table
 
-__all__ = ["Task", "components", "drop_table", "fresh_path", "held_out", "small_batches", "table"]
+__all__ = ["Task", "LOWER_SQL", "components", "components_sql", "drop_table", "fresh_path", "held_out", "small_batches", "table"]
 
 
 class Task:
@@ -80,3 +80,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     found = work.groupBy("u").agg(F.min("v").alias("component"))
     roots = work.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return found.select(F.col("u").alias("node"), "component").unionAll(roots)
+
+
+#: A text in DuckDB with A-Z lower-cased; null is empty.
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def components_sql(nodes: str, links: str) -> str:
+    """DuckDB: expressions ``both_`` and ``reach`` of a recursive WITH, then ``top`` (node, component), of nodes (id) and links (a, b)."""
+    return f"""both_ AS MATERIALIZED (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}),
+        reach(node, other) AS (SELECT a, b FROM both_ UNION SELECT r.node, e.b FROM reach r JOIN both_ e ON e.a = r.other),
+        top AS (SELECT n.id AS node, least(n.id, coalesce(min(r.other), n.id)) AS component FROM {nodes} n LEFT JOIN reach r ON r.node = n.id GROUP BY n.id)"""
