@@ -150,3 +150,46 @@ def test_blocks_of_products():
     for a, b in ((x, x), (x[:5], x[:5]), (x[:3, :8], x[:3, :8])):
         i, j = vectors.near_pairs(a, b, 0.9)
         assert {*zip(i.tolist(), j.tolist(), strict=True)} == {*zip(*(k.tolist() for k in np.nonzero(a @ b.T >= 0.9)), strict=True)}
+
+
+def test_pairs_at_the_threshold_link_whatever_the_axes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0, 0.0]), (1, [9.0, 4.0, 1.0, 1.0, 1.0])]  # 9 / 10
+    rows += [(2 + k, rng.normal(size=5).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df, tile=16).collect()}
+    assert got[0] >= 1 and got[1] >= 1
+
+
+def test_ties_on_all_axes_are_split(spark):
+    rows = [(k, [1.0 if c == k % 40 else 0.0 for c in range(40)]) for k in range(40)] + [(100 + k, [0.0] * 39 + [1.0 + k]) for k in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, tile=8).collect()}
+    assert got[39] == (50, 39) and got[120] == (50, 39) and got[0] == (0, 0)
+
+
+def test_tiles_that_meet_have_all_near_pairs():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(30, 12)) * 0.1 + rng.normal(size=12) for _ in range(6)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x @ np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    lead = np.column_stack((x[:, : vectors.LEAD], np.sqrt((x[:, vectors.LEAD :] ** 2).sum(1))))
+    tile = np.argsort(np.argsort(x[:, 0])) // 20
+    low, high = (np.array([f(lead[tile == t], axis=0) for t in range(9)]) for f in (np.min, np.max))
+    met = vectors.meeting(low, high, 0.9)
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    assert met[tile[i], tile[j]].all() and not met.all()
+
+
+def test_words_made_to_collide_are_different_sets(spark):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngramjoin.classes(docs).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_kept_rows_whatever_the_columns_are_called(spark, odd):
+    own = odd.withColumn("_kept", odd.n).withColumn("rep", odd.n)
+    assert ngramjoin.keep_one(own).columns == own.columns and ngramjoin.keep_one(own).count() == ngramjoin.keep_one(odd).count()

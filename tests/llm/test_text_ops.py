@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lattice.llm import decontam, licenses, pii
+from lattice.llm.text import ALNUM, words_of
 from tests.llm import brute
 from tests.llm.conftest import ODD, prose
 
@@ -177,3 +178,76 @@ def test_documents_keep_rows_and_columns(spark, odd, none):
     got = {r.doc_id: r for r in pii.replaced(own, KEY).collect()}
     assert got[1]._entities == 3 and "555-7672" not in got[1].text and "170.106" not in got[1].text
     assert got[2].text.lower() in got[1].text and got[1].n_chars == len(got[1].text)
+
+
+def replaced_words(text, key=KEY):
+    return pii.Surrogates(key).replace(text, pii.mentions(text))
+
+
+def test_people_keep_one_name_whatever_the_title():
+    out = replaced_words("Mr John Smith came. Dr John Smith left; Smith said, and John Smith too. SMITH").replace(",", "").replace(".", "").replace(";", "").split()
+    assert out[1:3] == out[5:7] == out[11:13] and out[8] == out[2] and out[-1] == out[2].upper()
+    assert replaced_words("Smith said nothing") == "Smith said nothing"  # no title tells of a name
+
+
+@pytest.mark.parametrize("text", ["Mr O'Brien", "Sr. de la Cruz", "г-н Иванов", "2001:db8:85a3::8a2e:370:7334", "06 12 34 56 78", "password: hunter2", "api_key=abcdefghijklmnop", f"{'a' * 90}@x.org", "0a" * 80])
+def test_more_kinds_are_found(text):
+    found = pii.mentions(f"see {text} now")
+    out = replaced_words(f"see {text} now")
+    assert found and all(f"see {text} now"[m.start : m.stop] not in out for m in found)
+
+
+@pytest.mark.parametrize("text", ["version 1.2.3.4 is out", "isbn 978-316-1484", "at 1700000000000 ms", "12:30:45", "std::vector<int>", "Password: required"])
+def test_what_only_looks_like_personal_data_stays(text):
+    assert replaced_words(text) == text
+
+
+@pytest.mark.parametrize("value", [f"{c}@e.com" for c in "abmz"] + ["5@e.com"])
+def test_nothing_is_its_own_surrogate(value):
+    assert all(pii.Surrogates(bytes([k])).of("email", value) != value for k in range(1, 60))
+
+
+def test_surrogates_are_no_entity_of_the_corpus(spark):
+    own = pii.Surrogates(KEY)
+    meant = [own.of("ssn", f"{k:09d}") for k in range(20)]  # what the first draws would give
+    entities = spark.createDataFrame([("ssn", v) for v in [f"{k:09d}" for k in range(20)] + meant], "kind string, value string").distinct()
+    found = pii.Surrogates(KEY, *pii.checked(entities, KEY))
+    values = {r.value for r in entities.collect()}
+    given = [found.of("ssn", v) for v in values]
+    assert len(set(given)) == len(values) and not values & set(given)
+
+
+def test_a_half_of_the_corpus_has_the_same_surrogates(spark):
+    docs = spark.createDataFrame([(k, f"Mr John{k} Smith{k} wrote to u{k}@mail.org") for k in range(40)], "doc_id long, text string")
+    whole = {r.doc_id: r.text for r in pii.replaced(docs, KEY).collect()}
+    half = {r.doc_id: r.text for r in pii.replaced(docs.where("doc_id < 20"), KEY).collect()}
+    assert all(whole[k] == t for k, t in half.items()) and len({t for t in whole.values()}) == 40
+
+
+def test_replacing_by_hand(spark):
+    """Every text against its mentions replaced one by one, from the pieces between them."""
+    texts = ["a b", "mail x@y.org, 8.8.8.8 and x@y.org", "Mrs Ann Lee; Lee (+1 (843) 555-7672) 4111111111111111", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = pii.Surrogates(KEY)
+    for r in pii.replaced(docs.withColumn("_entities", docs.doc_id), KEY).collect():
+        text = texts[r.doc_id]
+        found = pii.mentions(text)
+        assert r._entities == len(found)
+        rest = r.text
+        at = 0
+        for m in found:
+            assert rest.startswith(text[at : m.start])
+            rest = rest[m.start - at :]
+            want = pii._poured(own.of(m.kind, m.value), text[m.start : m.stop], m.kind)
+            assert rest.startswith(want)
+            rest, at = rest[len(want) :], m.stop
+        assert rest == text[at:]
+
+
+def test_a_passage_that_a_template_has_twice_counts_twice():
+    a, b = "one two three four", "five six seven eight"
+    scanner = licenses.Scanner((("zz yy", "z"),), (("t", f"{a} {b} {a} nine ten"),))
+    ids = lambda text: np.array([np.searchsorted(scanner.vocabulary, w) for w in words_of(text, ALNUM)])
+    text = f"{a} {b} {a}"
+    score, labels = (lambda r: (r[5], r[4]))(scanner.scan(ids(text), [0, 4, 8], [4, 8, 12]))
+    assert labels == "t" and score == pytest.approx(12 / 14)
