@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattice.llm import decontam, ngramjoin, packing, pii, toxicity
-from lattice.llm.queries import PII_KEY, byte_vocabulary
+from lattice.llm.queries import byte_vocabulary, surrogate_key
 from lattice.llm.shared import table
 
 #: SQL has neither the tokenizer nor the learned score; the stages are held against brute force in tests/llm.
@@ -35,7 +35,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates."""
-    return pii.replaced(docs, PII_KEY).select(*docs.columns)
+    return pii.replaced(docs, surrogate_key(spark)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
