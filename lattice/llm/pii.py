@@ -44,7 +44,7 @@ _NAME = r"[^\W\d_a-z](?:[^\W\d_]|['’](?=[^\W\d_]))[^\W\d_]*(?:[-'’][^\W\d_]+
 _PARTICLES = r"(?:(?:de|del|la|las|los|da|di|du|van|von|der|den)[ \u00a0]+)*"
 PATTERNS = (
     ("secret", re.compile(r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|key)\b\s*[=:]\s*[\"']?)([A-Za-z0-9_+/-]{12,})")),
-    ("secret", re.compile(r"(?i:\b(?:passwd|password|passphrase|pwd)\b\s*[=:]\s*[\"']?)([^\s\"'<>,;]{6,})")),
+    ("secret", re.compile(r"(?i:\b(?:passwd|password|passphrase|pwd)\b\s*[=:]\s*[\"']?)([^\s\"'<>,;\0]{6,})")),
     ("secret", re.compile(r"\b((?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,})\b")),
     ("email", re.compile(r"(?<![\w.+%-])([A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![\w-])")),
     ("iban", re.compile(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b(?<=\d)")),
@@ -133,7 +133,7 @@ def _parts(kind: str, m: re.Match) -> list[Mention]:
             return []
         if value in ("::", "::1"):
             return []
-    elif kind == "secret" and not (re.search(r"\d", value) or len(value) >= 16):
+    elif kind == "secret" and not re.search(r"[0-9]|[A-Za-z].{15}", value):
         return []
     return [Mention(m.start(1), m.end(1), kind, value)]
 
@@ -300,16 +300,18 @@ def _drawn(batches: Iterator[pa.RecordBatch], key: bytes, wide: int) -> Iterator
 
 #: Entities of forms with room enough that a surrogate can always be none of the corpus' own.
 _ROOMY = """kind = 'family' or kind like 'given%' or kind = 'ipv6' or kind = 'ip' and not value rlike '^(10|127|172|192)[.]'
-    or kind = 'email' and length(substring_index(value, '@', 1)) >= 8 or kind in ('ssn', 'card', 'phone', 'iban', 'secret') and length(value) >= 9"""
+    or kind = 'email' and length(substring_index(value, '@', 1)) >= 8 or kind in ('ssn', 'card', 'phone', 'iban', 'secret') and length(regexp_replace(value, '[^A-Za-z0-9]', '')) >= 9"""
 
 
-def checked(entities: DataFrame, key: bytes, rounds: int = 50) -> tuple[int, dict[tuple[str, str], int]]:
+def checked(entities: DataFrame, key: bytes, rounds: int = 20) -> tuple[int, dict[tuple[str, str], int]]:
     """Syllables of names, and the draws of entities whose surrogate met another's or, in a roomy form, a real entity of the kind.
 
     entities: distinct (kind, value). Genders and families are spelt apart, so kinds cannot meet. The
     syllables are fixed, so a name's surrogate does not depend on the corpus unless it met something.
+    A surrogate that is still a real entity after ``rounds`` draws stays, as its form is full; that two still meet is an error.
     """
     redrawn: dict[tuple[str, str], int] = {}
+    kept = redrawn
     sort = F.substring_index("kind", "-", 1)
     real = entities.select(sort.alias("real_sort"), F.col("value").alias("real_value")).distinct()
     for _ in range(rounds):
@@ -322,13 +324,16 @@ def checked(entities: DataFrame, key: bytes, rounds: int = 50) -> tuple[int, dic
         place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("draw", "value"))
         met = drawn.withColumn("place", place).where("place > 1").select("kind", "value", "draw")
         taken = drawn.where(_ROOMY).join(real, (sort == F.col("real_sort")) & (F.col("surrogate") == F.col("real_value")), "left_semi").select("kind", "value", "draw")
+        apart = met.isEmpty()
         found = met.unionAll(taken).distinct().limit(EXCEPTIONS + 1).collect()
         drop_table(drawn)
         if not found:
             return WIDE, redrawn
         if len(found) + len(redrawn) > EXCEPTIONS:
             break
-        redrawn |= {(k, v): d + 1 for k, v, d in found}
+        kept, redrawn = redrawn, redrawn | {(k, v): d + 1 for k, v, d in found}
+    if apart and len(found) <= EXCEPTIONS:
+        return WIDE, kept
     raise RuntimeError("surrogates still meet")
 
 

@@ -190,7 +190,7 @@ def test_people_keep_one_name_whatever_the_title():
     assert replaced_words("Smith said nothing") == "Smith said nothing"  # no title tells of a name
 
 
-@pytest.mark.parametrize("text", ["Mr O'Brien", "Sr. de la Cruz", "г-н Иванов", "2001:db8:85a3::8a2e:370:7334", "06 12 34 56 78", "password: hunter2", "api_key=abcdefghijklmnop", f"{'a' * 90}@x.org", "0a" * 80])
+@pytest.mark.parametrize("text", ["Mr O'Brien", "Sr. de la Cruz", "г-н Иванов", "2001:db8:85a3::8a2e:370:7334", "06 12 34 56 78", "password: hunter2", "password=5f3c9a1b2d4e6f7081", "api_key=abcdefghijklmnop", f"{'a' * 90}@x.org", "0a" * 80])
 def test_more_kinds_are_found(text):
     found = pii.mentions(f"see {text} now")
     out = replaced_words(f"see {text} now")
@@ -251,3 +251,8 @@ def test_a_passage_that_a_template_has_twice_counts_twice():
     text = f"{a} {b} {a}"
     score, labels = (lambda r: (r[5], r[4]))(scanner.scan(ids(text), [0, 4, 8], [4, 8, 12]))
     assert labels == "t" and score == pytest.approx(12 / 14)
+
+
+def test_a_secret_is_one_mention():
+    (m,) = pii.mentions("see password=5f3c9a1b2d4e6f7081 now")
+    assert (m.kind, m.value) == ("secret", "5f3c9a1b2d4e6f7081")
