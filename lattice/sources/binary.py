@@ -22,44 +22,52 @@ from lattice.plans.storage import table
 DTYPES = {"double": ("<f8", "double"), "float": ("<f4", "double"), "long": ("<i8", "long")}
 
 
-def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+def open_store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
 class _Rows(InputPartition):
-    def __init__(self, first: int, stop: int):
-        super().__init__((first, stop))
-        self.first, self.stop = first, stop
+    def __init__(self, path: str, before: int, first: int, stop: int):
+        super().__init__((path, first, stop))
+        self.path, self.before, self.first, self.stop = path, before, first, stop
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.cols = options["path"], int(options["cols"])
+        self.cols = int(options["cols"])
         self.kind, _ = DTYPES[options.get("dtype", "double")]
         self.width = np.dtype(self.kind).itemsize
-        fs, at = _open(self.path)
-        size = fs.get_file_info(at).size
-        self.rows = int(options.get("rows", size // (self.width * self.cols)))
-        if size < self.rows * self.cols * self.width:
-            raise ValueError(f"{self.path} has {size} bytes, too few for {self.rows} x {self.cols}")
+        self.files, rows = [], 0  # (path, rows in the files before, rows)
+        for path in options["path"].split("\n"):
+            fs, at = open_store(path)
+            held = fs.get_file_info(at).size // (self.width * self.cols)
+            self.files.append((path, rows, held))
+            rows += held
+        self.rows = int(options.get("rows", rows))
+        if rows < self.rows:
+            raise ValueError(f"{options['path']} has {rows} rows of {self.cols}, fewer than {self.rows}")
         self.stripe = int(options.get("stripe", max(1, (1 << 24) // (self.cols * self.width))))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Rows(r, min(r + self.stripe, self.rows)) for r in range(0, self.rows, self.stripe)]
+        out = []
+        for path, before, held in self.files:
+            held = min(held, self.rows - before)
+            out += [_Rows(path, before, r, min(r + self.stripe, held)) for r in range(0, held, self.stripe)]
+        return out
 
     def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
-        fs, at = _open(self.path)
+        fs, at = open_store(partition.path)
         with fs.open_input_file(at) as file:
             step = max(1, (1 << 20) // (self.cols * self.width))
             for r in range(partition.first, partition.stop, step):
                 stop = min(r + step, partition.stop)
                 data = np.frombuffer(file.read_at((stop - r) * self.cols * self.width, r * self.cols * self.width), self.kind)
                 v = data.astype(np.int64 if self.kind == "<i8" else np.float64)
-                yield pa.RecordBatch.from_pydict({"i": np.repeat(np.arange(r, stop), self.cols), "j": np.tile(np.arange(self.cols), stop - r), "v": v})
+                yield pa.RecordBatch.from_pydict({"i": np.repeat(np.arange(partition.before + r, partition.before + stop), self.cols), "j": np.tile(np.arange(self.cols), stop - r), "v": v})
 
 
 class MatrixSource(DataSource):
-    """``lattice_matrix``: options path, cols, dtype (double, float, long), rows, stripe (rows of a partition)."""
+    """``lattice_matrix``: options path (of parts in order: one a line), cols, dtype (double, float, long), rows, stripe (rows of a partition)."""
 
     @classmethod
     def name(cls) -> str:
@@ -72,22 +80,22 @@ class MatrixSource(DataSource):
         return _Reader(dict(self.options))
 
 
-def read_matrix(spark: SparkSession, path: str, cols: int, dtype: str = "double", **options) -> DataFrame:
-    """Cells (i, j, v) of a row-major file; every stripe of rows is a partition that reads only its bytes."""
+def read_matrix(spark: SparkSession, path: str | list[str], cols: int, dtype: str = "double", **options) -> DataFrame:
+    """Cells (i, j, v) of a row-major file or of its parts in order; every stripe of rows is a partition that reads only its bytes."""
     spark.dataSource.register(MatrixSource)
-    reader = spark.read.format("lattice_matrix").option("path", path).option("cols", cols).option("dtype", dtype)
+    reader = spark.read.format("lattice_matrix").option("path", path if isinstance(path, str) else "\n".join(path)).option("cols", cols).option("dtype", dtype)
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load()
 
 
-def read_points(spark: SparkSession, path: str, dims: int, **options) -> DataFrame:
+def read_points(spark: SparkSession, path: str | list[str], dims: int, **options) -> DataFrame:
     """(id, features) of a file of points, one after another."""
     cells = read_matrix(spark, path, dims, **options)
     return cells.groupBy(F.col("i").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x.v).alias("features"))
 
 
-def read_tensor(spark: SparkSession, path: str, side: int, **options) -> DataFrame:
+def read_tensor(spark: SparkSession, path: str | list[str], side: int, **options) -> DataFrame:
     """Cells (n, m, k, v) of a cube with k fastest."""
     cells = read_matrix(spark, path, side, **options)
     return cells.select(F.expr(f"i div {side}").alias("n"), (F.col("i") % side).alias("m"), F.col("j").alias("k"), "v")
@@ -102,7 +110,7 @@ def write_matrix(cells: DataFrame, meta: ArrayMeta, folder: str, dtype: str = "d
         out = np.zeros((min(stripe, rows - s * stripe), cols), kind)
         out[group["i"].to_numpy() - s * stripe, group["j"].to_numpy()] = group["v"].to_numpy()
         path = f"{folder}/part-{s:08d}-{uuid.uuid4().hex}.bin"
-        fs, at = _open(path)
+        fs, at = open_store(path)
         fs.create_dir(at.rsplit("/", 1)[0])
         with fs.open_output_stream(at) as file:
             file.write(out.tobytes())
@@ -127,33 +135,3 @@ def _numbered(ids: DataFrame) -> DataFrame:
     """(q, j): ids numbered in order. The queries are a stated set of bounded size."""
     rows = sorted(r[0] for r in ids.collect())
     return ids.sparkSession.createDataFrame([(q, n) for n, q in enumerate(rows)], "q long, j long")
-
-
-def read_intervals(spark: SparkSession, path: str, stage: str) -> DataFrame:
-    """(stage, seq, start_us, end_us) of a log: a 64-bit count, then that many pairs."""
-    fs, at = _open(path)
-    with fs.open_input_file(at) as file:
-        n = int(np.frombuffer(file.read_at(8, 0), "<u8")[0])
-        size = file.size()
-    if size < 8 + 16 * n:
-        raise ValueError(f"{path} is cut off")
-    cells = spark.range(0, n, 1, max(1, n // 1_000_000))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _open(path)
-        with fs.open_input_file(at) as file:
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                if len(ids):
-                    pairs = np.frombuffer(file.read_at(16 * len(ids), 8 + 16 * int(ids[0])), "<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_pydict({"seq": ids + 1, "start_us": pairs[:, 0], "end_us": pairs[:, 1]})
-
-    return cells.mapInArrow(read, "seq long, start_us long, end_us long").select(F.lit(stage).alias("stage"), "seq", "start_us", "end_us")
-
-
-def write_intervals(intervals: DataFrame, path: str) -> None:
-    """One stage's intervals as such a log, in order of seq. A log is one program's, small enough for the driver."""
-    rows = intervals.orderBy("seq").select("start_us", "end_us").toPandas().to_numpy(np.int64)
-    fs, at = _open(path)
-    with fs.open_output_stream(at) as file:
-        file.write(np.array([len(rows)], "<u8").tobytes() + rows.astype("<i8").tobytes())

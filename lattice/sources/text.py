@@ -9,15 +9,16 @@ NEGATIVE = "FOUND NEGATIVE CYCLE!"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line) from 0. Numbers come from each partition's count of lines; nothing is sorted or gathered but those counts."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    counts = sorted(lines.groupBy("p").count().collect())  # one for each partition of the file
+    """(n, line) from 0, through files in order of their names. Numbers come from the count of lines of each block of a file; nothing is sorted or gathered but those counts."""
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(F.col("value").alias("line"), *block, F.monotonically_increasing_id().alias("m"))
+    counts = lines.groupBy("file", "start").agg(F.count("*").alias("c"), F.min("m").alias("least")).collect()  # one for each block
     before, rows = 0, []
-    for p, n in counts:
-        rows.append((p, before))
-        before += n
-    offsets = spark.createDataFrame(rows, "q int, before long")
-    return lines.join(F.broadcast(offsets), F.col("p") == F.col("q")).select((F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("n"), "line")
+    for r in sorted(counts):
+        rows.append((r["file"], r["start"], before - r["least"]))
+        before += r["c"]
+    offsets = spark.createDataFrame(rows, "file string, start long, shift long")
+    return lines.join(F.broadcast(offsets), ["file", "start"]).select((F.col("shift") + F.col("m")).alias("n"), "line")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -32,6 +33,15 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     return own.select("src", (F.col("to").cast("long") - 1).alias("dst"), F.lit(1).cast("long").alias("w")).distinct(), vertices, stated
 
 
+def write_graph(edges: DataFrame, vertices: int, folder: str) -> None:
+    """Such a text, in files whose names follow its order: the header, then each vertex' neighbours from 1. A vertex' neighbours are one line, so one row."""
+    near = edges.groupBy(F.col("src").alias("v")).agg(F.array_join(F.sort_array(F.collect_set(F.col("dst") + 1)), " ").alias("line"))
+    every = edges.sparkSession.range(vertices).select(F.col("id").alias("v")).join(near, "v", "left").select((F.col("v") + 1).alias("n"), F.coalesce("line", F.lit("")).alias("value"))
+    entries = edges.select("src", "dst").distinct().agg(F.count("*").alias("c"))
+    head = entries.select(F.lit(0).cast("long").alias("n"), F.concat_ws(" ", F.lit(vertices).cast("string"), F.col("c").cast("string")).alias("value"))
+    head.unionAll(every).repartitionByRange("n").sortWithinPartitions("n").select("value").write.text(folder)
+
+
 def costs_text(found: DataFrame) -> DataFrame:
     """(value): ``v) cost:n`` of a breadth-first search."""
     return found.select(F.format_string("%d) cost:%d", "v", "cost").alias("value"))

@@ -1,11 +1,14 @@
 """Files written and read again."""
 
+import json
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lattice.operators import cluster, graph
 from lattice.plans.meta import ArrayMeta
-from lattice.sources import binary, text
+from lattice.sources import binary, intervals, text, traces
 from lattice.streaming.ingest import ingest_cells, stored_cells
 
 
@@ -18,6 +21,7 @@ def test_matrix_file(spark, tmp_path):
     assert {(r.i, r.j): r.v for r in df.collect()} == {k: v for k, v in np.ndenumerate(a)}
     parts = binary.write_matrix(df, ArrayMeta((7, 5), (7, 5)), str(tmp_path / "out"), stripe=3)
     assert b"".join(open(p, "rb").read() for p in parts) == a.tobytes()
+    assert {(r.i, r.j): r.v for r in binary.read_matrix(spark, parts, 5, rows=6).collect()} == {k: v for k, v in np.ndenumerate(a[:6])}
 
 
 def test_long_matrix_points_and_tensor(spark, tmp_path):
@@ -37,11 +41,48 @@ def test_knn_files(spark, tmp_path):
 
 
 def test_interval_log(spark, tmp_path):
-    rows = spark.createDataFrame([("x", 1, 5, 9), ("x", 2, 10, 11)], "stage string, seq long, start_us long, end_us long")
-    path = str(tmp_path / "x_ts.bin")
-    binary.write_intervals(rows, path)
-    assert np.fromfile(path, "<u8").tolist() == [2, 5, 9, 10, 11]
-    assert sorted(map(tuple, binary.read_intervals(spark, path, "x").collect())) == sorted(map(tuple, rows.collect()))
+    rows = spark.createDataFrame([("x", n, 5 * n, 5 * n + 2) for n in range(1, 40)], "stage string, seq long, start_us long, end_us long").repartition(3)
+    parts = intervals.write_intervals(rows, str(tmp_path / "log"))
+    whole = np.concatenate([np.fromfile(p, "<u8") for p in parts])
+    assert whole.tolist() == [39, *(x for n in range(1, 40) for x in (5 * n, 5 * n + 2))]
+    assert sorted(map(tuple, intervals.read_intervals(spark, parts, "x").collect())) == sorted(map(tuple, rows.collect()))
+    whole.tofile(str(tmp_path / "x_ts.bin"))
+    assert intervals.read_intervals(spark, str(tmp_path / "x_ts.bin"), "x").count() == 39
+    whole[:-1].tofile(str(tmp_path / "cut.bin"))
+    with pytest.raises(ValueError, match="cut off"):
+        intervals.read_intervals(spark, str(tmp_path / "cut.bin"), "x")
+
+
+def test_interval_log_without_rows_and_with_nulls(spark, tmp_path):
+    schema = "stage string, seq long, start_us long, end_us long"
+    parts = intervals.write_intervals(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert intervals.read_intervals(spark, parts, "x").collect() == []
+    parts = intervals.write_intervals(spark.createDataFrame([("x", None, None, 3), ("x", 1, 4, None)], schema), str(tmp_path / "nulls"))
+    assert sorted(map(tuple, intervals.read_intervals(spark, parts, "x").collect())) == [("x", 1, 0, 3), ("x", 2, 4, 0)]
+
+
+def test_trace_of_log_folders(spark, tmp_path):
+    for folder, shift in (("a", 0), ("b", 100)):
+        (tmp_path / folder).mkdir()
+        np.array([1, 5 + shift, 9 + shift], "<u8").tofile(str(tmp_path / folder / "load_ts.bin"))
+    path = str(tmp_path / "trace.json")
+    traces.write_trace_array(traces.trace_of_logs(spark, [str(tmp_path / "a"), str(tmp_path / "b")]), path)
+    found = json.load(open(path))
+    assert sorted((e["name"], e["ph"], e["tid"], e["ts"]) for e in found) == [("load", "B", 0, 5), ("load", "B", 1, 105), ("load", "E", 0, 9), ("load", "E", 1, 109)]
+    assert open(path).read() == json.dumps(found, indent=4)
+    traces.write_trace_array(spark.createDataFrame([], traces.EVENT), path)
+    assert json.load(open(path)) == []
+
+
+def test_graph_through_several_files(spark, tmp_path):
+    e = spark.range(300).select((F.col("id") % 50).alias("src"), (F.col("id") * 7 % 60).alias("dst"), F.lit(1).cast("long").alias("w")).distinct()
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 20)
+    text.write_graph(e, 60, str(tmp_path / "g"))
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(list((tmp_path / "g").glob("part-*"))) > 1
+    found, vertices, stated = text.read_graph(spark, str(tmp_path / "g"))
+    assert (vertices, stated) == (60, e.count())
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, e.collect()))
 
 
 def test_graph_text(spark, tmp_path):
